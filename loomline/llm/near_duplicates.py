@@ -19,11 +19,13 @@ pair's similarity is off by one shingle. Only the named columns are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,37 @@ class NearDuplicates:
     links: DataFrame
 
 
-def shingled(df: DataFrame, title: str, body: str, words: int) -> DataFrame:
-    """Rows with a body and words enough, with ``s``: distinct hashes of the runs of ``words`` words of title and body."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", F.col(title), F.col(body))), r"[^\p{L}\p{N}]+", " ")), " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(*[F.element_at("w", i + k) for k in range(words)]))
-    return df.where(F.length(body) > 0).withColumn("w", w).where(F.size("w") >= words).withColumn("s", F.array_distinct(runs)).drop("w")
+class _WordHashes(dict):
+    """64-bit hashes of words, remembered."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf_8", "surrogatepass"))
+        return h
 
-def fingerprint(blocks: int, rows: int, seed: int):
-    """Arrow batches (id, k1, k2, s) to rows (block, set_id, member) for the join on blocks.
+
+def shingler(words: int):
+    """A function (title, body) to the sorted distinct 64-bit hashes of their runs of ``words`` words; none for too short texts."""
+    split = re.compile(r"[^\W_]+").findall
+    known = _WordHashes()
+
+    def run(title: str | None, body: str) -> np.ndarray | None:
+        found = split(f"{title} {body}".lower() if title else body.lower())
+        if len(found) < words:
+            return None
+        h = np.array(list(map(known.__getitem__, found)), dtype=np.uint64)
+        n = len(h) - words + 1
+        s = h[:n].copy()
+        for k in range(1, words):
+            s = (s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + h[k : k + n]
+        return np.unique(s ^ (s >> np.uint64(28)))
+
+    return run
+
+
+def fingerprint(words: int, blocks: int, rows: int, seed: int):
+    """Arrow batches (id, k1, k2, t, b) to rows (block, set_id, member) for the join on blocks.
 
     One row a record carries (id, k1, k2, n, sketch) as six 64-bit numbers in ``member``,
     so that the texts are read and the shingles hashed only once.
@@ -60,27 +84,32 @@ def fingerprint(blocks: int, rows: int, seed: int):
     symbols = blocks * rows
     mult = rng.integers(0, 2**31, symbols + SKETCH_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 2**32, len(mult), dtype=np.uint64).astype(np.uint32)
+    mixes = rng.integers(0, 2**63, 17, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     weight = (np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        runs = shingler(words)
         for batch in batches:
+            sets = [runs(t, b) for t, b in zip(batch.column("t").to_pylist(), batch.column("b").to_pylist())]
+            keep = pa.array([s is not None for s in sets], type=pa.bool_())
+            batch, sets = batch.filter(keep), [s for s in sets if s is not None]
             if not (count := batch.num_rows):
                 continue
-            lists = batch.column("s")
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.concatenate(sets)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             with np.errstate(over="ignore"):
                 mixed = values ^ (values >> np.uint64(29))
                 set_id = np.add.reduceat((mixed * np.uint64(0xBF58476D1CE4E5B9)) ^ (mixed >> np.uint64(32)), starts)
-                x = ((mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32)
+                # symbols are linear in one of many mixes of a shingle: linear in the same one, they would not be independent
+                xs = [((mixed ^ (mixed >> np.uint64(17 + j % 13))) * m >> np.uint64(32)).astype(np.uint32) for j, m in enumerate(mixes)]
                 sig = np.empty((len(mult), count), dtype=np.uint32)
                 for lo in range(0, count, 256):  # records at a time, so that the numbers stay in the processor's cache
                     hi = min(lo + 256, count)
-                    own, at = x[starts[lo] : starts[hi - 1] + sizes[hi - 1]], starts[lo:hi] - starts[lo]
+                    own, at = [x[starts[lo] : starts[hi - 1] + sizes[hi - 1]] for x in xs], starts[lo:hi] - starts[lo]
                     for k in range(len(mult)):
-                        sig[k, lo:hi] = np.minimum.reduceat(own * mult[k] + add[k], at)
+                        sig[k, lo:hi] = np.minimum.reduceat(own[k % len(own)] * mult[k] + add[k], at)
                 bit = ((sig[symbols:] * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint64)
                 member = np.empty((count, 6), dtype=np.int64)
                 for i, c in enumerate(("id", "k1", "k2")):
@@ -187,8 +216,8 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     """
     num, den = threshold
     key = F.struct(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")) if copy_key is None else copy_key
-    base = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(title_col).alias("t"), F.col(body_col).alias("b")).where("id is not null")
-    marks = shingled(base, "t", "b", words).select("id", "key.k1", "key.k2", "s").mapInArrow(fingerprint(blocks, rows, seed), "block long, set_id long, member binary")
+    base = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(title_col).alias("t"), F.col(body_col).alias("b")).where(F.col("id").isNotNull() & (F.length("b") > 0))
+    marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed), "block long, set_id long, member binary")
     both = stage(marks.repartition("block").sortWithinPartitions("block").mapInArrow(block_pairs, _PAIRED), "near-pairs", free=True)
     members = both.where("id is not null").select("id", F.col("a").alias("set_id"), "k1", "k2", "n", "s1", "s2")
     small = both.where("b is not null").select("a", "b")
@@ -209,7 +238,15 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     ends = F.array(F.struct(F.col("ida").alias("id"), F.col("a").alias("set_id")), F.struct(F.col("idb").alias("id"), F.col("b").alias("set_id")))
     wanted = stage(checked.select(F.explode(ends).alias("x")).select("x.*").distinct(), "near-wanted")
     texts = base.select("id", "t", "b").join(broadcast_if_small(wanted), "id")
-    sets = stage(shingled(texts, "t", "b", words).select("set_id", F.transform("s", lambda v: F.hash(v)).alias("s")), "near-sets")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = shingler(words)
+        for batch in batches:
+            sets = [(i, v) for i, (t, b) in enumerate(zip(batch.column("t").to_pylist(), batch.column("b").to_pylist())) if (v := runs(t, b)) is not None]
+            ids = batch.column("set_id").take(pa.array([i for i, _ in sets], type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([(v >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, v in sets], type=pa.list_(pa.int32()))], names=["set_id", "s"])
+
+    sets = stage(texts.select("set_id", "t", "b").mapInArrow(again, "set_id long, s array<int>"), "near-sets")
     full = checked.select("a", "b", "na", "nb").join(sets.select(F.col("set_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("s").alias("sb")), "b")
     full = full.withColumn("c", F.size(F.array_intersect("sa", "sb")))
     links = full.where(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num)
