@@ -14,6 +14,7 @@ batch leaves the ledger as it is. Only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -79,7 +80,7 @@ class CopyLedger:
         merged = both.select("k1", "k2", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), earlier.alias("f"))
         merged = merged.select("k1", "k2", "copies", F.col("f.at").alias("first_at"), F.col("f.id").alias("first_id"), F.pmod(F.col("k1"), F.lit(self.buckets)).cast("int").alias("bucket"))
         self.version += 1
-        path = f"{work_dir(self.spark)}/{self.name}-{id(self):x}-v{self.version}"
+        path = f"{work_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}-v{self.version}"
         merged.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         found = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
