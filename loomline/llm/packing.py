@@ -165,5 +165,6 @@ def pack_items(items: DataFrame, id_col: str, size_col: str, plans: DataFrame, p
             out.loc[len(out) - len(none) :, ["container", "unused"]] = pd.NA
         return out
 
-    packed = spread.groupBy("plan", "shard").applyInPandas(run, schema)
+    # a task a shard and plan: by size alone, the few numbers of many shards would meet in one task
+    packed = spread.repartition(min(shards * len(listed), 20_000), "plan", "shard").groupBy("plan", "shard").applyInPandas(run, schema)
     return packed.select(F.col("plan").alias(plan_col), "container", F.col("id").alias(id_col), "piece", F.col("size").alias("tokens"), "unused")
