@@ -36,12 +36,12 @@ def chi_square(counts: DataFrame, by: list[str], row: str, col: str, n: str = "n
     Cells of 0 may be missing. Yates' correction only touches 2 x 2 tables; a group with
     fewer than two non-empty rows or columns has no result.
     """
-    cells = counts.where(F.col(n) > 0).groupBy(*by, row, col).agg(F.sum(n).alias("o"))
-    rows, cols = cells.groupBy(*by, row).agg(F.sum("o").alias("r")), cells.groupBy(*by, col).agg(F.sum("o").alias("c"))
-    whole = rows.groupBy(*by).agg(F.sum("r").alias("n"), F.count("*").alias("n_rows")).join(cols.groupBy(*by).agg(F.count("*").alias("n_cols")), by).where("n_rows > 1 and n_cols > 1")
-    grid = rows.join(cols, by).join(whole, by).join(cells, [*by, row, col], "left").fillna(0, ["o"])
-    e = F.col("r") * F.col("c") / F.col("n")
-    off = F.abs(F.col("o") - e)
+    cells = counts.where(F.col(n) > 0).groupBy(*by, F.col(row).alias("_row"), F.col(col).alias("_col")).agg(F.sum(n).alias("_o"))
+    rows, cols = cells.groupBy(*by, "_row").agg(F.sum("_o").alias("_r")), cells.groupBy(*by, "_col").agg(F.sum("_o").alias("_c"))
+    whole = rows.groupBy(*by).agg(F.sum("_r").alias("n"), F.count("*").alias("n_rows")).join(cols.groupBy(*by).agg(F.count("*").alias("n_cols")), by).where("n_rows > 1 and n_cols > 1")
+    grid = rows.join(cols, by).join(whole, by).join(cells, [*by, "_row", "_col"], "left").fillna(0, ["_o"])
+    e = F.col("_r") * F.col("_c") / F.col("n")
+    off = F.abs(F.col("_o") - e)
     yates = F.when((F.col("n_rows") == 2) & (F.col("n_cols") == 2), off - F.least(off, F.lit(0.5))).otherwise(off)
     out = grid.groupBy(*by, "n", "n_rows", "n_cols").agg(F.sum(off * off / e).alias("chi2"), F.sum(yates * yates / e).alias("chi2_yates"), F.min(e).alias("expected_min"))
     return out.withColumn("dof", (F.col("n_rows") - 1) * (F.col("n_cols") - 1)).withColumn("cramers_v", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("n_rows", "n_cols") - 1))))
