@@ -31,8 +31,8 @@ _OTHER = r"[^\p{L}\p{N}]+"
 
 
 def letters(text: Column) -> Column:
-    """Letters and digits only; folded by way of the upper case, so that ss and its ligature agree."""
-    return F.regexp_replace(F.lower(F.upper(text)), _OTHER, "")
+    """Letters and digits only, in lower case; the sharp s is the two letters that its upper case is."""
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _OTHER, "")
 
 
 def canonical_key(title: str, body: str) -> Column:

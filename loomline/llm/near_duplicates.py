@@ -211,11 +211,12 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, copy_key: Column | None = None, words: int = 5, threshold: tuple[int, int] = (4, 5), blocks: int = 32, rows: int = 4, seed: int = 1) -> NearDuplicates:
     """Link records whose shingle sets have at least ``threshold`` (a fraction) of their union in common.
 
-    ``copy_key``: a struct of two longs that tells exact copies, carried to ``members``.
+    ``copy_key``: a struct of two longs that tells exact copies, carried to ``members``;
+    without it, no record is a copy of another.
     The chance to miss a pair at similarity s is (1 - s ** rows) ** blocks.
     """
     num, den = threshold
-    key = F.struct(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")) if copy_key is None else copy_key
+    key = F.struct(F.col(id_col).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")) if copy_key is None else copy_key
     base = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(title_col).alias("t"), F.col(body_col).alias("b")).where(F.col("id").isNotNull() & (F.length("b") > 0))
     marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed), "block long, set_id long, member binary")
     both = stage(marks.repartition("block").sortWithinPartitions("block").mapInArrow(block_pairs, _PAIRED), "near-pairs", free=True)
