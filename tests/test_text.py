@@ -8,7 +8,9 @@ def one(spark, f, values, kind="string"):
     return [r["r"] for r in rows]
 
 
+def test_titles(spark):
     got = one(spark, text.undouble, ["ABAB", "Foo Foo", "Abc", None, "\t xyz ", "", "a"])
+    assert got == ["AB", "Foo", "Abc", None, "xyz", "", "a"]
 
 
 def test_export_lines(spark):
