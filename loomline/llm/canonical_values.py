@@ -219,5 +219,5 @@ def map_values(df: DataFrame, value_col: str, reference: DataFrame, entry_col: s
     kind = dict(reference.dtypes)[entry_col]
     values = df.select(F.col(value_col).alias("v")).where("v is not null").distinct()
     # by size alone, all values would meet in one task; the search costs time, not room
-    values = values.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "v")
+    values = values.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64("v"))
     return values.mapInPandas(search, f"v string, entry {kind}, distance int, n_entries int").withColumnRenamed("v", value_col)
