@@ -121,3 +121,13 @@ def test_wrong_encoding(spark):
     assert set(got) == {*bad, 2000, 2004}
     assert all(got[1000 + k]["restored_text"] == clean[k % 3] for k in range(len(bad)))
     assert got[2000]["restored_runs"] == 0 and got[2004]["restored_text"] == (clean[0] + " ") * 500 + clean[0]
+
+
+@pytest.mark.parametrize("chain", ["cp1252>cp850", "cp1252>mac_roman"])
+def test_wrong_encoding_of_many_copies(spark, chain):
+    clean = ["De coöperatieve caféhouder uit Zeeëndijk vindt één ding heel belangrijk", "L’été à la côte est très agréable, près de la forêt", "Für die große Maßnahme gibt es mehr als nötig"]
+    bad = wrong_encoding.garble(clean[0], chain)
+    rows = [(i, clean[i % 3] + f" {i}") for i in range(400)] + [(1000 + i, bad) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r["restored_text"] for r in wrong_encoding.find_wrong_encoding(df, "id", "text").collect()}
+    assert got == dict.fromkeys(range(1000, 1200), clean[0])
