@@ -256,12 +256,10 @@ def sparse_payload(t: Tables) -> DataFrame:
 @query(f"""WITH x AS (SELECT DISTINCT * FROM annotated), y AS (SELECT article_idx, prompt_variant, run_number, {", ".join(f"{sql_yes_no(c)} AS {c}" for c in COLUMNS[:4])} FROM x)
 SELECT article_idx, prompt_variant, run_number, CAST(count(*) AS BIGINT) AS rows_left, {" AND ".join(f"count(DISTINCT coalesce({c}, '')) = 1" for c in COLUMNS[:4])} AS same FROM y GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_pair_compare(t: Tables) -> DataFrame:
-    """Keys with several different rows, and whether their normalised labels agree."""
-    rows = t.annotated.distinct().groupBy("article_idx", "prompt_variant", "run_number").agg(F.count("*").alias("rows_left"), *[F.count_distinct(F.coalesce(yes_no(F.col(c)), F.lit(""))).alias(c) for c in COLUMNS[:4]])
-    same = F.lit(True)
-    for c in COLUMNS[:4]:
-        same = same & (F.col(c) == 1)
-    return rows.where("rows_left > 1").select("article_idx", "prompt_variant", "run_number", "rows_left", same.alias("same"))
+    """Keys with several different rows, and whether all their normalised labels agree."""
+    labels = F.struct(*[F.coalesce(yes_no(F.col(c)), F.lit("")).alias(c) for c in COLUMNS])
+    rows = t.annotated.distinct().groupBy("article_idx", "prompt_variant", "run_number").agg(F.count("*").alias("rows_left"), (F.count_distinct(labels) == 1).alias("same"))
+    return rows.where("rows_left > 1")
 
 
 @query(f"""WITH {_LONG}, b AS (SELECT article_idx, frame, max(present) AS old FROM l WHERE prompt_variant = 'A' GROUP BY ALL), n AS (SELECT article_idx, frame, max(present) AS new FROM l WHERE prompt_variant = 'B' GROUP BY ALL)
