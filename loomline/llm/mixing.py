@@ -2,10 +2,11 @@
 
 The total is cut into blocks of equal tokens, which are dealt to the sources by the
 highest quotients of Sainte-Laguë (found as a common divisor, so the number of blocks does
-not matter); a source whose repeats do not allow its blocks gets what they allow, and the
-others keep their proportions. A source's blocks are dealt to its shards in the same way;
-within a shard whole passes are taken first and then records in a seeded order until the
-shard's blocks are full, leaving out those that would overflow them.
+not matter); a source whose repeats do not allow its blocks gets all its records as often as
+they allow, and the others keep their proportions. A source's blocks are dealt to its shards in
+the same way; within a shard whole passes are taken first and then records in a seeded order
+until the shard's blocks are full, leaving out those that would overflow them. What is then left
+is filled by further passes over the records that fit, as long as their repeats allow.
 
 Defined results: records without id, source or tokens are not used, nor are sources without a
 target. Targets without records are reported with a share of 0; null or negative targets
@@ -71,7 +72,7 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
     live = (share > 0) & (have > 0) & (repeats > 0)
     if total is None:
         total = int(rows.agg(F.sum("tokens")).first()[0] or 0)
-    most = np.where(live, np.floor(have * repeats / block_tokens), 0).astype(np.int64)
+    most = np.where(live, np.ceil(have * repeats / block_tokens), 0).astype(np.int64)
     dealt = sainte_lague(np.maximum(share, 0), int(round(min(share.sum(), 1.0) * total / block_tokens)), np.full(len(share), 2**62 // max(len(share), 1)))
     seats = np.minimum(dealt, most)
     table["blocks"] = seats
@@ -85,7 +86,11 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
         """One row a shard of one source."""
         frame = frame.sort_values("shard")
         room = frame["size"].to_numpy(float) * frame["repeats"].to_numpy()
-        frame["quota"] = sainte_lague(frame["size"].to_numpy(float), int(frame["blocks"].iloc[0]), np.floor(room / block_tokens + 1).astype(np.int64))
+        blocks = int(frame["blocks"].iloc[0])
+        if blocks * block_tokens >= room.sum():  # the repeats bind: everything
+            frame["quota"] = np.ceil(room / block_tokens).astype(np.int64)
+        else:
+            frame["quota"] = sainte_lague(frame["size"].to_numpy(float), blocks, np.floor(room / block_tokens + 1).astype(np.int64))
         return frame[["source", "shard", "size", "repeats", "quota"]]
 
     quotas = sizes.groupBy("source").applyInPandas(deal, f"source {kind}, shard long, size long, repeats long, quota long")
@@ -98,9 +103,11 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
         want = min(int(frame["quota"].iloc[0]) * block_tokens, size * repeats)
         passes, rest = divmod(want, size)
         copies = np.full(len(frame), passes, dtype=np.int32)
-        if passes < repeats:
-            for i, n in enumerate(frame["tokens"].tolist()):
-                if n <= rest:
+        tokens, before = frame["tokens"].tolist(), -1
+        while rest and rest != before:  # at most ``repeats`` passes
+            before = rest
+            for i, n in enumerate(tokens):
+                if n <= rest and copies[i] < repeats:
                     copies[i] += 1
                     rest -= n
         return frame.assign(copies=copies)[["id", "source", "tokens", "copies"]][copies > 0]

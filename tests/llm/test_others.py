@@ -98,6 +98,18 @@ def test_mix(spark):
     assert mixing.mix(items.where("false"), "id", "s", "n", goal, "share", "most").records.count() == 0
 
 
+def test_mix_fills_quotas(spark):
+    """Source a has less than a block, b is bound by its repeats, c has a text longer than its quota."""
+    sizes = {"a": [7, 8, 9], "b": [33] * 7, "c": [10] * 20 + [500]}
+    items = spark.createDataFrame([(i, s, n) for s, ns in sizes.items() for i, n in enumerate(ns, 1000 * ord(s))], "id long, s string, n long")
+    goal = spark.createDataFrame([("a", 0.25, 2), ("b", 0.5, 3), ("c", 0.25, 3)], "s string, share double, most int")
+    got = mixing.mix(items, "id", "s", "n", goal, "share", "most", total=1_800, block_tokens=50)
+    report = {r["s"]: r["mixed_tokens"] for r in got.report.collect()}
+    assert report == {"a": 2 * 24, "b": 3 * 231, "c": 450}
+    assert all(r["copies"] == {"a": 2, "b": 3}[r["s"]] for r in got.records.where("s < 'c'").collect())
+    assert max(r["copies"] for r in got.records.where("s = 'c'").collect()) <= 3
+
+
 def test_tokens():
     import base64
 
