@@ -10,6 +10,7 @@ from loomline.functions import stats
 from loomline.functions.text import collapse_blanks, yes_no
 from loomline.operators.labels import COLUMNS, LABELS, label_table, long_labels, pass_table, percent, prevalence
 from loomline.plans.registry import Tables, query, sql_collapse, sql_yes_no
+from loomline.runtime import stage
 
 _KEEP = ["article_idx", "outlet_clean", "year", "corpus", "corpus_type", "prompt_variant", "run_number"]
 
@@ -229,10 +230,29 @@ def chi2_by_outlet(t: Tables) -> DataFrame:
 
 @query()
 def significance_suite(t: Tables) -> DataFrame:
-    """Chi-square with both corrections and its p-values, for three groupings of every label."""
-    parts = [_chi(t, k).withColumn("grouping_column", F.lit(k)) for k in ("corpus", "outlet_clean", "year")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.withColumn("p", stats.chi2_p("chi2", "dof")).withColumn("p_yates", stats.chi2_p("chi2_yates", "dof"))
+    """Chi-square with both corrections and its p-values, for five groupings of every label.
+
+    Corpus and the three corpus types over both corpora; year and outlet over both (``scope`` null) and within
+    each corpus; each topic (``category``) against the other known topics of its corpus, NOISE left out.
+    """
+    keys = ["corpus", "corpus_type", "outlet_clean", "year"]
+    rows = long(t).where("present is not null")
+    meta = t.preprocess_final.select(F.col("row_idx").alias("article_idx"), collapse_blanks(F.col("meta")).alias("meta")).where("meta is not null and meta != 'NOISE'").distinct()
+    none, scope = F.array().cast("array<string>"), F.array("corpus")
+    sets = [(k, none) for k in keys] + [("outlet_clean", scope), ("year", scope)]
+    groups = F.explode(F.array(*[F.struct(F.lit(k).alias("grouping_column"), s.alias("scope"), none.alias("category"), F.col(k).cast("string").alias("g")) for k, s in sets]))
+    counts = rows.groupBy(*keys, "frame", "present").agg(F.count("*").alias("n")).select(groups.alias("x"), "frame", "present", "n").select("x.*", "frame", "present", "n")
+    counts = counts.where("g is not null and (size(scope) = 0 or scope[0] is not null)").groupBy("grouping_column", "scope", "category", "g", "frame", "present").agg(F.sum("n").alias("n"))
+
+    topics = stage(rows.where("corpus is not null").join(meta, "article_idx").groupBy("corpus", "meta", "frame", "present").agg(F.count("*").alias("n")), "suite-topics")
+    whole = topics.groupBy("corpus", "frame", "present").agg(F.sum("n").alias("all"))
+    cells = topics.select("corpus", "meta", "frame").distinct().join(whole, ["corpus", "frame"]).join(topics, ["corpus", "meta", "frame", "present"], "left").fillna(0, ["n"])
+    sides = F.explode(F.array(F.struct(F.lit("focal").alias("g"), F.col("n")), F.struct(F.lit("rest").alias("g"), (F.col("all") - F.col("n")).alias("n"))))
+    cells = cells.select(F.lit("meta").alias("grouping_column"), F.array("corpus").alias("scope"), F.array("meta").alias("category"), "frame", "present", sides.alias("x")).select("grouping_column", "scope", "category", "x.g", "frame", "present", "x.n")
+
+    out = stats.chi_square(stage(counts.unionByName(cells), "suite-cells"), ["grouping_column", "scope", "category", "frame"], "g", "present")
+    out = out.withColumn("scope", F.get("scope", F.lit(0))).withColumn("category", F.get("category", F.lit(0)))
+    return out.withColumn("p", stats.chi2_p("chi2", "dof")).withColumn("p_yates", stats.chi2_p("chi2_yates", "dof"))
 
 
 @query()
