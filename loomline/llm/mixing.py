@@ -4,19 +4,25 @@ The total is cut into blocks of equal tokens, which are dealt to the sources by
 highest quotients of Sainte-Laguë (found as a common divisor, so the number of blocks does
 not matter); a source whose repeats do not allow its blocks gets all its records as often as
 they allow, and the others keep their proportions. A source's blocks are dealt to its shards in
-the same way; within a shard whole passes are taken first and then records in a seeded order
-until the shard's blocks are full, leaving out those that would overflow them. What is then left
-is filled by further passes over the records that fit, as long as their repeats allow.
+the same way. Within a shard whole passes are taken first; then its records, in a seeded order,
+are cut into blocks of equal tokens, of which those that fit are taken in that order. What is left
+is filled record by record, by repeats as far as they are allowed, and at last by exchanging
+chosen records for longer ones, until less than a block is left or no exchange helps.
 
 Defined results: records without id, source or tokens are not used, nor are sources without a
 target. Targets without records are reported with a share of 0; null or negative targets
-count as 0, null repeats as 1. Without a total, the mix is as large as all usable records. Ties of quotients go to the larger target,
-then to the name. Empty tables give an empty mix and a report of zeros.
+count as 0, null repeats as 1. Without a total, the mix is as large as all records of sources with
+a target. Ties of quotients go to the larger target, then to the name. Empty tables give an empty
+mix and a report of zeros. ``quota_filled``: the source holds its target share of the total asked
+for, within a block and a hundredth; ``met``: the share reached of what was mixed is as near to
+the target from either side; ``unfilled_tokens``: what its blocks lack.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -58,6 +64,58 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
     return out
 
 
+def fill(tokens: list[int], copies: list[int], rest: int, most: int, enough: int, block: int) -> tuple[list[int], int]:
+    """Add copies, at most ``most`` of a record, until ``rest`` is below ``enough`` or no step makes it smaller.
+
+    The records stand in their seeded order: blocks of ``block`` tokens that fit are taken
+    first, then records, then exchanges of chosen records for a longer one.
+    """
+    copies, lo = copies[:], 0
+    while lo < len(tokens) and rest >= block:
+        hi, size = lo, 0
+        while hi < len(tokens) and size < block:
+            size += tokens[hi]
+            hi += 1
+        if size <= rest and all(c < most for c in copies[lo:hi]):
+            rest -= size
+            for i in range(lo, hi):
+                copies[i] += 1
+        lo = hi
+    while rest:
+        before = rest
+        for i, n in enumerate(tokens):
+            if n <= rest and copies[i] < most:
+                copies[i] += 1
+                rest -= n
+        if rest == before and (rest < enough or not (swap := _exchange(tokens, copies, rest, most))):
+            break
+        if rest == before:
+            copies, rest = swap
+    return copies, rest
+
+
+def _exchange(tokens: list[int], copies: list[int], rest: int, most: int) -> tuple[list[int], int] | None:
+    """One record more and shorter ones less, so that less is left; null if no such step is found."""
+    chosen = sorted((j for j, c in enumerate(copies) for _ in range(c)), key=tokens.__getitem__)
+    sizes = [tokens[j] for j in chosen]
+    freed = [0, *accumulate(sizes)]
+    for i in sorted((i for i, n in enumerate(tokens) if copies[i] < most and n > rest), key=tokens.__getitem__):
+        need = tokens[i] - rest
+        one, many = bisect_left(sizes, need), bisect_left(freed, need)
+        if one < len(sizes) and sizes[one] < tokens[i]:
+            gone, left = chosen[one : one + 1], sizes[one] - need
+        elif many < len(freed) and freed[many] < tokens[i]:
+            gone, left = chosen[:many], freed[many] - need
+        else:
+            continue
+        out = copies[:]
+        for j in gone:
+            out[j] -= 1
+        out[i] += 1
+        return out, left
+    return None
+
+
 def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets: DataFrame, share_col: str, repeats_col: str, total: int | None = None, block_tokens: int = 512, shard_items: int = 20_000, seed: int = 20250810) -> Mix:
     """Mix ``items`` (id, source, tokens) to the shares of a small table of targets with the same source column."""
     spark = items.sparkSession
@@ -71,11 +129,11 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
     share, have, repeats = table["share"].to_numpy(float), table["tokens"].to_numpy(float), table["repeats"].clip(lower=0).to_numpy()
     live = (share > 0) & (have > 0) & (repeats > 0)
     if total is None:
-        total = int(rows.agg(F.sum("tokens")).first()[0] or 0)
+        total = int(have[share > 0].sum())
     most = np.where(live, np.ceil(have * repeats / block_tokens), 0).astype(np.int64)
     dealt = sainte_lague(np.maximum(share, 0), int(round(min(share.sum(), 1.0) * total / block_tokens)), np.full(len(share), 2**62 // max(len(share), 1)))
     seats = np.minimum(dealt, most)
-    table["blocks"] = seats
+    table["blocks"], table["dealt"] = seats, dealt
     table["shards"] = np.maximum(1, -(-table["n"].to_numpy() // shard_items))
     known = spark.createDataFrame([(r.source, int(r.blocks), int(r.repeats), int(r.shards)) for r in table.itertuples() if r.blocks > 0], f"source {kind}, blocks long, repeats long, shards long")
 
@@ -102,14 +160,8 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
         size, repeats = int(frame["size"].iloc[0]), int(frame["repeats"].iloc[0])
         want = min(int(frame["quota"].iloc[0]) * block_tokens, size * repeats)
         passes, rest = divmod(want, size)
-        copies = np.full(len(frame), passes, dtype=np.int32)
-        tokens, before = frame["tokens"].tolist(), -1
-        while rest and rest != before:  # at most ``repeats`` passes
-            before = rest
-            for i, n in enumerate(tokens):
-                if n <= rest and copies[i] < repeats:
-                    copies[i] += 1
-                    rest -= n
+        copies, _ = fill(frame["tokens"].tolist(), [passes] * len(frame), rest, repeats, block_tokens, block_tokens)
+        copies = np.array(copies, dtype=np.int32)
         return frame.assign(copies=copies)[["id", "source", "tokens", "copies"]][copies > 0]
 
     placed = mine.select("id", "source", "tokens", "shard", F.xxhash64("id", F.lit(seed + 1)).alias("draw")).join(quotas, ["source", "shard"])
@@ -117,11 +169,14 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
     chosen = stage(chosen, "mix-chosen")
 
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-    wide = [(r.source, float(r.share), int(r.repeats), int(r.tokens), int(r.blocks)) for r in table.itertuples()]
-    base = spark.createDataFrame(wide, f"source {kind}, target_share double, max_repeats long, available_tokens long, blocks long")
+    wide = [(r.source, float(r.share), int(r.repeats), int(r.tokens), int(r.blocks), int(r.dealt)) for r in table.itertuples()]
+    base = spark.createDataFrame(wide, f"source {kind}, target_share double, max_repeats long, available_tokens long, blocks long, dealt long")
     report = base.join(F.broadcast(got), "source", "left").fillna(0, ["mixed_tokens", "most_copies"])
     whole = got.agg(F.sum("mixed_tokens")).first()[0] or 0
     actual = F.col("mixed_tokens") / F.lit(max(whole, 1))
     report = report.withColumn("actual_share", actual).withColumn("difference", F.col("actual_share") - F.col("target_share"))
-    report = report.withColumn("met", F.col("mixed_tokens") >= 0.99 * F.col("target_share") * total - block_tokens)
+    near = lambda have, want, block: F.abs(have - want) <= 0.01 * want + block
+    report = report.withColumn("unfilled_tokens", F.greatest(F.lit(0).cast("long"), F.lit(block_tokens) * F.col("dealt") - F.col("mixed_tokens"))).drop("dealt")
+    report = report.withColumn("quota_filled", near(F.col("mixed_tokens"), F.col("target_share") * total, F.lit(block_tokens)))
+    report = report.withColumn("met", near(F.col("actual_share"), F.col("target_share"), F.lit(block_tokens / max(whole, 1))))
     return Mix(chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("tokens").alias(tokens_col), "copies"), report.withColumnRenamed("source", source_col), total)

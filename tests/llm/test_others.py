@@ -92,7 +92,8 @@ def test_mix(spark):
     goal = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.15, 2), ("gone", 0.05, 2)], "s string, share double, most int")
     got = mixing.mix(items, "id", "s", "n", goal, "share", "most", total=20_000, block_tokens=50)
     report = {r["s"]: r for r in got.report.collect()}
-    assert report["a"]["met"] and report["b"]["met"] and not report["c"]["met"] and not report["gone"]["met"]
+    assert report["a"]["quota_filled"] and report["b"]["quota_filled"] and not report["c"]["quota_filled"] and not report["gone"]["quota_filled"]
+    assert not report["a"]["met"] and report["c"]["unfilled_tokens"] > 0  # c and gone fall short, so a has more than its share of what was mixed
     assert abs(report["a"]["mixed_tokens"] - 10_000) <= 100 and report["c"]["most_copies"] == 2
     assert all(r["copies"] <= {"a": 2, "b": 3, "c": 2}[r["s"]] for r in got.records.collect())
     assert mixing.mix(items.where("false"), "id", "s", "n", goal, "share", "most").records.count() == 0
@@ -110,6 +111,25 @@ def test_mix_fills_quotas(spark):
     assert max(r["copies"] for r in got.records.where("s = 'c'").collect()) <= 3
 
 
+def test_mix_beside_a_giant(spark):
+    """A text longer than the quota does not keep the others from being repeated; sources without a target do not add to the total."""
+    sizes = {"a": [25_000, *[100] * 101], "b": [100] * 400, "none": [1_000] * 100}
+    items = spark.createDataFrame([(i, s, n) for s, ns in sizes.items() for i, n in enumerate(ns, 1_000 * ord(s[0]))], "id long, s string, n long")
+    goal = spark.createDataFrame([("a", 0.4, 3), ("b", 0.6, 3)], "s string, share double, most int")
+    got = mixing.mix(items, "id", "s", "n", goal, "share", "most", block_tokens=64)
+    report = {r["s"]: r for r in got.report.collect()}
+    assert got.total == 75_100 and report["a"]["met"] and report["b"]["met"] and abs(report["a"]["mixed_tokens"] - 30_040) < 128
+    small = mixing.mix(items, "id", "s", "n", goal, "share", "most", total=50_000, block_tokens=64)
+    report = {r["s"]: r["mixed_tokens"] for r in small.report.collect()}
+    assert abs(report["a"] - 20_000) < 128 and abs(report["b"] - 30_000) < 128
+
+
+def test_fill_exchanges():
+    assert mixing.fill([40, 30, 45], [0, 0, 0], 75, 1, 1, 10_000) == ([0, 1, 1], 0)
+    assert mixing.fill([5_000] * 3, [0, 0, 0], 2_000, 9, 1, 512) == ([0, 0, 0], 2_000)
+    assert mixing.fill([], [], 5, 1, 1, 1) == ([], 5)
+
+
 def test_tokens():
     import base64
 
