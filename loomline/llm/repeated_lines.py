@@ -7,8 +7,9 @@ every occurrence of a line of a block goes.
 
 Defined results: null source, null or empty text and texts without letters have no
 repeated lines; a cleaned null text is null, an empty one empty. Ties do not arise, the
-thresholds are inclusive. Rows with an equal id are one document: the support counts ids.
-Other columns are not read, so names cannot clash.
+thresholds are inclusive. Every row is a document, also one whose id comes again, and is
+counted, listed and cleaned for itself. Lines without letters stand in no block: two lines are
+consecutive if only such lines are between them. Other columns are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from loomline.runtime import BROADCAST_ROWS, broadcast_if_small, stage
 
 #: White space of any kind but the line feed, with the format characters that show as none.
 _BLANK = r"[\t\x0B\f\r\x1C-\x1F\x85\p{Z}\x{200B}\x{2060}\x{FEFF}]+"
+#: Keys over which a source is spread where its texts are joined by shuffle.
+SALTS = 64
 
 
 @dataclass
@@ -46,17 +49,16 @@ class RepeatedLines:
     def clean(self) -> DataFrame:
         """(id, text without the repeated lines, number of lines removed) of every row."""
         df = self.source_df.select(F.col(self.id_col).alias("id"), F.col(self.source_col).alias("source"), F.col(self.text_col).alias("text"))
+        # a source has at most 1 / min_share times its mean number of lines of them, so the array of one source is small
+        drop = self.blocks.groupBy("source").agg(F.collect_set(F.struct("h", "g")).alias("drop"))
         if self.n_blocks <= BROADCAST_ROWS:
-            # one array of line keys per source, next to each row: no shuffle of texts
-            drop = self.blocks.groupBy("source").agg(F.collect_set(F.struct("h", "g")).alias("drop"))
             df = df.join(F.broadcast(drop), "source", "left")
-            keyed = F.arrays_zip(F.split("text", "\n").alias("t"), F.split(fold_text("text"), "\n").alias("k"))
-            kept = F.filter(keyed, lambda x: ~(x["k"].rlike(r"\p{L}") & F.array_contains("drop", _hashes(x["k"]))))
-            kept = F.transform(kept, lambda x: x["t"])
-        else:
-            gone = self.occurrences.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-            df = df.join(gone, "id", "left").withColumn("drop", F.col("gone"))
-            kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("gone", x["i"])), lambda x: x["t"])
+        else:  # the same join by shuffle, each source spread over SALTS keys
+            drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            df = df.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(drop, ["source", "salt"], "left")
+        keyed = F.arrays_zip(F.split("text", "\n").alias("t"), F.split(fold_text("text"), "\n").alias("k"))
+        kept = F.filter(keyed, lambda x: ~(x["k"].rlike(r"\p{L}") & F.array_contains("drop", _hashes(x["k"]))))
+        kept = F.transform(kept, lambda x: x["t"])
         text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
         removed = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")) - F.size(kept))
         return df.select(F.col("id").alias(self.id_col), text.alias(self.text_col), removed.cast("int").alias("lines_removed"))
@@ -110,15 +112,10 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     lines = F.transform(keys, lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["g"].alias("g")))
     lines = stage(rows.select("id", "source", lines.alias("lines")), "line-keys")
 
-    docs = lines.groupBy("source").agg(F.count_distinct("id").alias("docs"))
+    docs = lines.groupBy("source").agg(F.count("*").alias("docs"))
     once = lines.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"))))).alias("k"))
     support = once.groupBy("source", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count("*").alias("support")).where(F.col("support") >= min_docs)
     nodes = support.join(docs, "source").where(F.col("support") * den >= F.col("docs") * num)
-    if not _unique(lines):  # an id that comes twice counts once
-        nodes = stage(nodes, "line-nodes")
-        exact = lines.select("id", "source", F.explode("lines").alias("l")).join(nodes.select("source", F.col("h").alias("h"), F.col("g").alias("g")), (F.col("l.h") == F.col("h")) & (F.col("l.g") == F.col("g")) & (lines["source"] == nodes["source"]), "left_semi")
-        exact = exact.groupBy("source", F.col("l.h").alias("h"), F.col("l.g").alias("g")).agg(F.count_distinct("id").alias("support"))
-        nodes = exact.join(docs, "source").where((F.col("support") >= min_docs) & (F.col("support") * den >= F.col("docs") * num))
     nodes = stage(nodes.select("source", "h", "g", "support", "docs"), "line-nodes")
     n = nodes.count()
     few = broadcast_if_small(nodes, known=n)
@@ -136,7 +133,3 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     blocks = nodes.join(roots, ["source", "h", "g"], "left").select("source", "h", "g", "support", F.coalesce("root", "h").alias("block"))
     return RepeatedLines(df, id_col, source_col, text_col, lines, stage(blocks, "line-blocks"), n, edges)
 
-
-def _unique(lines: DataFrame) -> bool:
-    """Whether no id comes twice (one aggregate over the staged ids)."""
-    return lines.groupBy("id").count().where("count > 1").isEmpty()

@@ -16,6 +16,21 @@ _LINES = r"""
             HAVING count(DISTINCT row_idx) >= 8 AND count(DISTINCT row_idx) * 20 >= docs)"""
 
 ORACLES = {
+    "p1_blocks": f"""WITH RECURSIVE {_LINES},
+  step AS (SELECT outlet_clean, row_idx, line AS a, lead(line) OVER (PARTITION BY row_idx ORDER BY line_no) AS b FROM real),
+  edges AS (SELECT s.outlet_clean, a, b FROM step s JOIN n USING (outlet_clean) JOIN often x ON x.outlet_clean = s.outlet_clean AND x.line = a JOIN often y ON y.outlet_clean = s.outlet_clean AND y.line = b
+            GROUP BY s.outlet_clean, a, b, docs HAVING count(DISTINCT row_idx) >= 8 AND count(DISTINCT row_idx) * 20 >= docs),
+  twoway AS (SELECT * FROM edges UNION SELECT outlet_clean, b, a FROM edges),
+  reach AS (SELECT outlet_clean, line, line AS root FROM often UNION SELECT r.outlet_clean, b, root FROM reach r JOIN twoway e ON e.outlet_clean = r.outlet_clean AND e.a = r.line),
+  block AS (SELECT outlet_clean, line, min(root) AS block FROM reach GROUP BY ALL),
+  support AS (SELECT outlet_clean, line, count(DISTINCT row_idx) AS support FROM real GROUP BY ALL)
+SELECT outlet_clean, CAST(count(*) AS BIGINT) AS block_lines, max(support) AS max_support, min(support) AS min_support FROM block JOIN support USING (outlet_clean, line) GROUP BY outlet_clean, block""",
+    "p1_clean": f"""WITH {_LINES},
+  gone AS (SELECT row_idx, line_no FROM real JOIN often USING (outlet_clean, line)),
+  rest AS (SELECT e.row_idx, string_agg(lines[line_no + 1], chr(10) ORDER BY line_no) AS body FROM each e JOIN kept USING (row_idx) ANTI JOIN gone g ON g.row_idx = e.row_idx AND g.line_no = e.line_no GROUP BY ALL),
+  out AS (SELECT row_idx, count(*) AS removed FROM gone GROUP BY ALL)
+SELECT p.row_idx, CASE WHEN removed IS NULL THEN p.body ELSE coalesce(k.body, '') END AS body, CAST(coalesce(removed, 0) AS INTEGER) AS lines_removed
+FROM preprocess_final p LEFT JOIN out o USING (row_idx) LEFT JOIN rest k USING (row_idx)""",
     "p1_found": f"WITH {_LINES} SELECT row_idx, line_no FROM real JOIN often USING (outlet_clean, line)",
     "p2_found": f"""
 WITH cells AS ({_CELLS}),

@@ -10,7 +10,7 @@ from loomline.llm import copy_ledger, near_duplicates, repeated_lines
 from loomline.runtime import expand_pairs, stage
 
 
-def test_repeated_lines(spark):
+def test_repeated_lines(spark, monkeypatch):
     rng = random.Random(3)
     rows = []
     for i in range(200):
@@ -35,9 +35,20 @@ def test_repeated_lines(spark):
     for i, _, t, _ in rows:
         keep = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want)
         assert clean[i]["text"] == keep
+    monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", 0)
+    assert {r["id"]: r for r in found.clean().collect()} == clean
     assert repeated_lines.repeated_lines(df.where("false"), "id", "source", "text").occurrences.count() == 0
 
 
+def test_repeated_lines_of_one_id(spark):
+    """Rows with the same id are documents of their own, in one source or in two."""
+    rows = [(i % 5, "a", f"vaste regel\neigen {'xyz'[i % 3] * i} zin") for i in range(10)] + [(3, "b", "vaste regel")]
+    found = repeated_lines.repeated_lines(spark.createDataFrame(rows, "id long, s string, t string"), "id", "s", "t")
+    assert sorted((r["id"], r["source"], r["line_no"]) for r in found.occurrences.collect()) == sorted((i % 5, "a", 0) for i in range(10))
+    got = sorted((r["t"], r["lines_removed"]) for r in found.clean().collect())
+    assert got == sorted([(t.split("\n")[1], 1) for _, s, t in rows if s == "a"] + [("vaste regel", 0)])
+
+
 def _near_rows():
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
