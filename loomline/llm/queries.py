@@ -24,10 +24,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).blocks.groupBy(F.col("source").alias("outlet_clean"), "block").agg(F.count("*").alias("block_lines"), F.max("support").alias("max_support"), F.min("support").alias("min_support"))
+    """Blocks of lines that follow one another, by outlet."""
+    blocks = _lines(spark, d).blocks.groupBy(F.col("source").alias("outlet_clean"), "block")
+    return blocks.agg(F.count("*").alias("block_lines"), F.max("support").alias("max_support"), F.min("support").alias("min_support")).drop("block")
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every body without the repeated lines."""
     return _lines(spark, d).clean()
 
 
@@ -98,9 +101,12 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused room of each plan, beside the fewest containers that its tokens could fill."""
     rows = p6_pack(spark, d).where("container is not null")
     each = rows.groupBy("plan_name", "container").agg(F.sum("tokens").alias("tokens"), F.max("unused").alias("unused"))
-    return each.groupBy("plan_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"), F.round(F.sum("unused") / (F.sum("unused") + F.sum("tokens")), 6).alias("unused_share"))
+    plan = each.groupBy("plan_name").agg(F.count("*").alias("containers"), F.max(F.col("tokens") + F.col("unused")).alias("capacity"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"))
+    plan = plan.withColumn("containers_at_least", F.ceil(F.col("tokens") / F.col("capacity")))
+    return plan.withColumn("excess", F.col("containers") - F.col("containers_at_least")).withColumn("unused_share", F.round(F.col("unused") / (F.col("unused") + F.col("tokens")), 6))
 
 
 def _mixed(spark: SparkSession, d: str) -> mixing.Mix:

@@ -63,13 +63,26 @@ def test_automaton_against_brute_force():
             assert trie.search(typed)[k] <= d
 
 
-@pytest.mark.parametrize("capacity", [50, 512])
-def test_pack(capacity):
+@pytest.mark.parametrize("capacity", [50, 512, 5_000])
+@pytest.mark.parametrize("largest", [0.3, 0.6, 1.0])
+def test_pack(capacity, largest):
     rng = np.random.default_rng(1)
-    sizes = np.concatenate([rng.integers(1, capacity + 1, 400), rng.integers(1, max(2, capacity // 10), 200)])
+    sizes = np.concatenate([rng.integers(1, int(capacity * largest) + 1, 900), rng.integers(1, max(2, capacity // 10), 300)])
     box = packing.pack(sizes, capacity)
     room = np.bincount(box, weights=sizes)
-    assert room.max() <= capacity and (box >= 0).all() and len(room) <= 1.06 * sizes.sum() / capacity + 2
+    assert room.max() <= capacity and room.min() > 0 and (box >= 0).all()
+    plain = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), [], capacity)[1]
+    assert len(room) <= plain
+
+
+def test_configurations():
+    """Every container of a configuration fits, and thirds, which best fit on halves would part, are put together."""
+    sizes = np.array([334, 333, 333] * 50 + [501] * 20 + [499] * 20)
+    order = np.argsort(-sizes, kind="stable")
+    filled = packing.configurations(sizes, order, 1_000, 100)
+    assert all(sizes[c].sum() <= 1_000 for c in filled) and len({i for c in filled for i in c}) == sum(map(len, filled))
+    assert packing.pack(sizes, 1_000).max() + 1 == 70
+    assert packing.pack(np.array([], dtype=np.int64), 10).tolist() == [] and packing.pack(np.array([7, 7, 7]), 7).max() == 2
 
 
 def test_pack_items(spark):
