@@ -8,13 +8,20 @@ verified by the Hamming distance of one-bit symbols (128 bits, apart from the bl
 the pairs left by their exact similarity.
 
 Equal shingle sets are one class before blocks are joined, so groups of copies cost one
-member. A block held by many classes is not enumerated in one task but cut into fragments.
+member. A block held by many classes, and a class of many records, is not enumerated in one
+task but cut into fragments. Texts are never shuffled: the scan that needs them again knows
+the records in checked pairs by a Bloom filter of fixed size and sends on their shingle hashes.
 
-Defined results: a null title counts as nothing; rows with a null or empty body, or with
-fewer words than a shingle, are similar to nothing. Ties at the threshold are pairs. A
+Defined results: a null title counts as nothing; rows without an id, with a null or empty body,
+or with fewer words than a shingle, are similar to nothing. Ties at the threshold are pairs. A
 repeated id with other words is another record; pairs of a record with itself do not count.
-The exact similarity compares 32-bit hashes of the shingles: with one chance in 100,000 a
-pair's similarity is off by one shingle. Only the named columns are read.
+Ids may be of any type that can be ordered. The exact similarity compares 32-bit hashes of the
+shingles: with one chance in 100,000 a pair's similarity is off by one shingle. A class is told
+by 64 bits: among 10 billion different sets about 3 pairs are taken for equal. Only the named
+columns are read.
+
+``groups`` is the bounded form of the result (one row a record); ``linked_pairs`` has a row
+for every pair, n (n - 1) / 2 for n records that are alike.
 """
 
 from __future__ import annotations
@@ -35,6 +42,12 @@ from loomline.runtime import broadcast_if_small, expand_pairs, stage
 SKETCH_BITS = 128
 #: Members of a block that one task pairs at once; larger blocks are cut into fragments.
 BLOCK_MEMBERS = 64
+#: Rows of the join on blocks that one task should get.
+TASK_ROWS = 500_000
+#: Records of a class that meet in one task when its pairs are listed.
+CLASS_MEMBERS = 2_048
+#: Bits of the Bloom filter, at most; with more records than a twelfth of it, more shingles travel than needed.
+FILTER_BITS = 1 << 28
 
 
 @dataclass
@@ -74,11 +87,51 @@ def shingler(words: int):
     return run
 
 
+def set_numbers(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each set of shingles; set i begins at ``starts[i]``."""
+    with np.errstate(over="ignore"):
+        mixed = values ^ (values >> np.uint64(29))
+        return np.add.reduceat((mixed * np.uint64(0xBF58476D1CE4E5B9)) ^ (mixed >> np.uint64(32)), starts)
+
+
+def bits_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Four positions of each hash in a filter of ``size`` bits, a power of two."""
+    u = h.view(np.uint64)
+    with np.errstate(over="ignore"):
+        return np.stack([(u + np.uint64(j) * ((u >> np.uint64(32)) | np.uint64(1))) & np.uint64(size - 1) for j in range(4)]).astype(np.int64)
+
+
+def bloom_filter(ids: DataFrame, h: str, n: int) -> np.ndarray:
+    """Filter of the ``n`` hashes of a column, built in chunks of 65,536 bits by the executors; at most FILTER_BITS come to the driver."""
+    size = min(FILTER_BITS, 1 << max(16, (12 * n).bit_length()))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(bits_of(batch.column(0).to_numpy(), size))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 16).astype(np.int32)), pa.array((at & 0xFFFF).astype(np.int32))], names=["chunk", "at"])
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        chunk = np.zeros(1 << 16, dtype=np.uint8)
+        chunk[table.column("at").to_numpy()] = 1
+        return pa.table({"chunk": pa.array([key[0].as_py()], type=pa.int32()), "bits": pa.array([np.packbits(chunk).tobytes()])})
+
+    rows = ids.select(h).mapInArrow(spread, "chunk int, at int").groupBy("chunk").applyInArrow(gather, "chunk int, bits binary")
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["chunk"] * 8192 : (r["chunk"] + 1) * 8192] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def may_contain(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = bits_of(h, len(bits) * 8)
+    return (bits[at >> 3] & (np.uint8(128) >> (at & 7).astype(np.uint8)) != 0).all(axis=0)
+
+
 def fingerprint(words: int, blocks: int, rows: int, seed: int):
-    """Arrow batches (id, k1, k2, t, b) to rows (block, set_id, member) for the join on blocks.
+    """Arrow batches (id, k1, k2, t, b) to rows (block, set_id, member, id) for the join on blocks.
 
-    One row a record carries (id, k1, k2, n, sketch) as six 64-bit numbers in ``member``,
-    so that the texts are read and the shingles hashed only once.
+    One row a record carries (k1, k2, n, sketch) as five 64-bit numbers in ``member`` and its id,
+    so that the blocks need the texts only once.
     """
     rng = np.random.default_rng(seed)
     symbols = blocks * rows
@@ -99,9 +152,9 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
             values = np.concatenate(sets)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            set_id = set_numbers(values, starts)
             with np.errstate(over="ignore"):
                 mixed = values ^ (values >> np.uint64(29))
-                set_id = np.add.reduceat((mixed * np.uint64(0xBF58476D1CE4E5B9)) ^ (mixed >> np.uint64(32)), starts)
                 # symbols are linear in one of many mixes of a shingle: linear in the same one, they would not be independent
                 xs = [((mixed ^ (mixed >> np.uint64(17 + j % 13))) * m >> np.uint64(32)).astype(np.uint32) for j, m in enumerate(mixes)]
                 sig = np.empty((len(mult), count), dtype=np.uint32)
@@ -111,12 +164,12 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
                     for k in range(len(mult)):
                         sig[k, lo:hi] = np.minimum.reduceat(own[k % len(own)] * mult[k] + add[k], at)
                 bit = ((sig[symbols:] * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint64)
-                member = np.empty((count, 6), dtype=np.int64)
-                for i, c in enumerate(("id", "k1", "k2")):
+                member = np.empty((count, 5), dtype=np.int64)
+                for i, c in enumerate(("k1", "k2")):
                     member[:, i] = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
-                member[:, 3] = sizes
-                member[:, 4] = (bit[:64] * weight).sum(0, dtype=np.uint64).view(np.int64)
-                member[:, 5] = (bit[64:] * weight).sum(0, dtype=np.uint64).view(np.int64)
+                member[:, 2] = sizes
+                member[:, 3] = (bit[:64] * weight).sum(0, dtype=np.uint64).view(np.int64)
+                member[:, 4] = (bit[64:] * weight).sum(0, dtype=np.uint64).view(np.int64)
                 new = np.array([i for i, v in enumerate(set_id.tolist()) if not (v in seen or seen.add(v))], dtype=np.int64)
                 if len(seen) > 500_000:
                     seen.clear()  # it only saves work: equal sets are told apart by their number anyway
@@ -128,24 +181,25 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
                         h ^= h >> np.uint64(32)
                     block[:, b] = h
                 spread = set_id * np.uint64(0x9E3779B97F4A7C15) + np.arange(count, dtype=np.uint64)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(48), count, [None, pa.py_buffer(member.tobytes())]).cast(pa.binary())
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(40), count, [None, pa.py_buffer(member.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([block.reshape(-1), spread]).view(np.int64)),
                     pa.array(np.concatenate([np.repeat(set_id[new], blocks), set_id]).view(np.int64)),
                     pa.concat_arrays([pa.nulls(block.size, pa.binary()), packed]),
+                    pa.concat_arrays([pa.nulls(block.size, batch.column("id").type), batch.column("id")]),
                 ],
-                names=["block", "set_id", "member"],
+                names=["block", "set_id", "member", "id"],
             )
 
     return run
 
 
-_PAIRED = "block long, a long, b long, id long, k1 long, k2 long, n long, s1 long, s2 long"
+_PAIRED = "block long, a long, b long, k1 long, k2 long, n long, s1 long, s2 long"
 
 
 def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (block, set_id, member) to pairs (null, a, b) within blocks of up to BLOCK_MEMBERS sets.
+    """Sorted (block, set_id, member, id) to pairs (null, a, b) within blocks of up to BLOCK_MEMBERS sets.
 
     Sets of larger blocks go on as (block, a, null), members as (null, set_id, null, ...).
     At most BLOCK_MEMBERS sets of a block are held at a time.
@@ -168,14 +222,15 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > 500_000:
             seen.clear()
 
-    def flush(extra: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+    def flush(extra: np.ndarray, sets: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
         none = pa.nulls(len(sets), pa.int64())
         cols = [pa.concat_arrays([pa.array(v, type=pa.int64()), w]) for v, w in ((k, none), (a, pa.array(sets)), (b, none))]
-        cols += [pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(np.ascontiguousarray(extra[:, i]))]) for i in range(6)]
+        cols += [pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(np.ascontiguousarray(extra[:, i]))]) for i in range(5)]
+        cols.append(pa.concat_arrays([pa.nulls(len(k), ids.type), ids]))
         k.clear(), a.clear(), b.clear()
-        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _PAIRED.split(", ")])
+        return pa.RecordBatch.from_arrays(cols, names=[*(c.split()[0] for c in _PAIRED.split(", ")), "id"])
 
-    nobody = np.empty((0, 6), dtype=np.int64), np.empty(0, dtype=np.int64)
+    nobody, ids = (np.empty((0, 5), dtype=np.int64), np.empty(0, dtype=np.int64)), None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -183,7 +238,8 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_block = member.is_null().to_numpy(zero_copy_only=False)
         block, item = (batch.column(c).to_numpy() for c in ("block", "set_id"))
         packed = member.drop_null()
-        extra, sets = (np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int64).reshape(-1, 6), item[~is_block]) if len(packed) else nobody
+        extra, sets = (np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int64).reshape(-1, 5), item[~is_block]) if len(packed) else nobody
+        ids = batch.column("id").filter(pa.array(~is_block))
         block, item = block[is_block], item[is_block]
         if len(block):
             edge = np.flatnonzero(block[1:] != block[:-1]) + 1
@@ -203,9 +259,10 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             for y in held:
                                 k.append(int(held_block)), a.append(y), b.append(None)
                             held, large = [], True
-        yield flush(extra, sets)
+        yield flush(extra, sets, ids)
     close()
-    yield flush(*nobody)
+    if ids is not None:
+        yield flush(*nobody, ids[:0])
 
 
 def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, copy_key: Column | None = None, words: int = 5, threshold: tuple[int, int] = (4, 5), blocks: int = 32, rows: int = 4, seed: int = 1) -> NearDuplicates:
@@ -216,10 +273,12 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     The chance to miss a pair at similarity s is (1 - s ** rows) ** blocks.
     """
     num, den = threshold
-    key = F.struct(F.col(id_col).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")) if copy_key is None else copy_key
-    base = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(title_col).alias("t"), F.col(body_col).alias("b")).where(F.col("id").isNotNull() & (F.length("b") > 0))
-    marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed), "block long, set_id long, member binary")
-    both = stage(marks.repartition("block").sortWithinPartitions("block").mapInArrow(block_pairs, _PAIRED), "near-pairs", free=True)
+    key = F.struct(F.xxhash64(id_col).alias("k1"), F.xxhash64(F.lit(17), id_col).alias("k2")) if copy_key is None else copy_key
+    base = df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(title_col).alias("t"), F.col(body_col).alias("b")).where(F.col("id").isNotNull() & (F.length("b") > 0))
+    kind = dict(base.dtypes)["id"]
+    marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed), f"block long, set_id long, member binary, id {kind}")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * (blocks + 1) // TASK_ROWS))
+    both = stage(marks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(block_pairs, f"{_PAIRED}, id {kind}"), "near-pairs", free=True)
     members = both.where("id is not null").select("id", F.col("a").alias("set_id"), "k1", "k2", "n", "s1", "s2")
     small = both.where("b is not null").select("a", "b")
     large = expand_pairs(both.where("block is not null").select("block", "a"), "block", "a").select("a", "b")
@@ -235,20 +294,25 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     checked = small.unionByName(large).distinct().join(x, "a").join(y, "b").where(fits)
     checked = stage(checked.select("a", "b", "ida", "idb", "na", "nb"), "near-checked", free=True)
 
-    # the exact similarity, from the texts of the records in a checked pair only
-    ends = F.array(F.struct(F.col("ida").alias("id"), F.col("a").alias("set_id")), F.struct(F.col("idb").alias("id"), F.col("b").alias("set_id")))
-    wanted = stage(checked.select(F.explode(ends).alias("x")).select("x.*").distinct(), "near-wanted")
-    texts = base.select("id", "t", "b").join(broadcast_if_small(wanted), "id")
+    # the exact similarity, from the shingles of one record of each set in a checked pair
+    wanted = stage(checked.select(F.explode(F.array(F.xxhash64("ida"), F.xxhash64("idb"))).alias("h")).distinct(), "near-wanted")
+    shared = df.sparkSession.sparkContext.broadcast(bloom_filter(wanted, "h", wanted.count()))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shingler(words)
         for batch in batches:
+            batch = batch.filter(pa.array(may_contain(shared.value, batch.column("h").to_numpy())))
             sets = [(i, v) for i, (t, b) in enumerate(zip(batch.column("t").to_pylist(), batch.column("b").to_pylist())) if (v := runs(t, b)) is not None]
-            ids = batch.column("set_id").take(pa.array([i for i, _ in sets], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([(v >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, v in sets], type=pa.list_(pa.int32()))], names=["set_id", "s"])
-
-    sets = stage(texts.select("set_id", "t", "b").mapInArrow(again, "set_id long, s array<int>"), "near-sets")
-    full = checked.select("a", "b", "na", "nb").join(sets.select(F.col("set_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("s").alias("sb")), "b")
+            if sets:
+                ids = batch.column("id").take(pa.array([i for i, _ in sets], type=pa.int64()))
+                number = set_numbers(np.concatenate([v for _, v in sets]), np.cumsum([0, *(len(v) for _, v in sets[:-1])]))
+                hashes = pa.array([(v >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, v in sets], type=pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number.view(np.int64)), hashes], names=["id", "set_id", "s"])
+
+    sets = base.select("id", F.xxhash64("id").alias("h"), "t", "b").mapInArrow(again, f"id {kind}, set_id long, s array<int>")
+    sets = stage(sets, "near-sets")
+    full = checked.join(sets.select(F.col("set_id").alias("a"), F.col("id").alias("ida"), F.col("s").alias("sa")), ["a", "ida"])
+    full = full.join(sets.select(F.col("set_id").alias("b"), F.col("id").alias("idb"), F.col("s").alias("sb")), ["b", "idb"])
     full = full.withColumn("c", F.size(F.array_intersect("sa", "sb")))
     links = full.where(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num)
     links = links.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).distinct()
@@ -256,15 +320,27 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
 
 
 def linked_pairs(found: NearDuplicates) -> DataFrame:
-    """(a, b) of all pairs of records that are linked, a < b, without exact copies of one another."""
-    number = F.xxhash64("set_id", "k1", "k2")
-    classes = stage(found.members.select("set_id", "k1", "k2").distinct().withColumn("class", number), "near-classes")
-    x = classes.select(F.col("set_id").alias("a"), F.col("k1").alias("xa"), F.col("k2").alias("ya"), F.col("class").alias("ca"))
-    y = classes.select(F.col("set_id").alias("b"), F.col("k1").alias("xb"), F.col("k2").alias("yb"), F.col("class").alias("cb"))
+    """(a, b) of all pairs of records that are linked, a < b, without exact copies of one another.
+
+    A class of many records is cut into parts by the hash of the id; a pair of classes is
+    listed part by part.
+    """
+    number = F.xxhash64("set_id", "k1", "k2").alias("class")
+    parts = F.ceil(F.count("*") / CLASS_MEMBERS).cast("int").alias("parts")
+    classes = stage(found.members.groupBy("set_id", "k1", "k2").agg(parts).select("set_id", "k1", "k2", number, "parts"), "near-classes")
+    x = classes.select(F.col("set_id").alias("a"), F.col("k1").alias("xa"), F.col("k2").alias("ya"), F.struct("class", "parts").alias("ca"))
+    y = classes.select(F.col("set_id").alias("b"), F.col("k1").alias("xb"), F.col("k2").alias("yb"), F.struct("class", "parts").alias("cb"))
     across = found.links.join(x, "a").join(y, "b").where("xa != xb or ya != yb").select("ca", "cb")
-    within = expand_pairs(classes, "set_id", "class").select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-    rows = found.members.select("id", number.alias("class"))
-    pairs = across.unionByName(within).join(rows.select(F.col("class").alias("ca"), F.col("id").alias("ia")), "ca").join(rows.select(F.col("class").alias("cb"), F.col("id").alias("ib")), "cb")
+    within = expand_pairs(classes.select("set_id", F.struct("class", "parts").alias("c")), "set_id", "c").select(F.col("a").alias("ca"), F.col("b").alias("cb"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}.parts") - 1))
+    pairs = across.unionByName(within).select("ca", "cb", each("ca").alias("pa")).select(F.col("ca.class").alias("ca"), "pa", "cb", each("cb").alias("pb")).select("ca", "pa", F.col("cb.class").alias("cb"), "pb")
+
+    hot = classes.where("parts > 1").select("class", "parts")  # at most a row for each CLASS_MEMBERS records
+    rows = found.members.select("id", number).join(broadcast_if_small(hot), "class", "left")
+    rows = rows.select("id", "class", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    one = rows.select(F.col("class").alias("ca"), F.col("part").alias("pa"), F.col("id").alias("ia"))
+    two = rows.select(F.col("class").alias("cb"), F.col("part").alias("pb"), F.col("id").alias("ib"))
+    pairs = pairs.join(one, ["ca", "pa"]).join(two, ["cb", "pb"])
     return pairs.where("ia != ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
 
 

@@ -63,7 +63,7 @@ def _near_rows():
     return rows + [(1000, "a b", None), (1001, "a b", ""), (1002, None, "een twee"), (1003, None, "een, twee drie"), (1004, None, "EEN twee: drie"), (1005, "x", "lang " * 20_000)]
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     rows = _near_rows()
     sets = {}
     for i, t, b in rows:
@@ -75,12 +75,36 @@ def test_near_duplicates(spark):
     found = near_duplicates.near_duplicates(df, "id", "t", "b", words=3, threshold=(1, 2), blocks=64)
     links = {(r["a"], r["b"]) for r in near_duplicates.linked_pairs(found).collect()}
     assert links == want and len(want) > 50
+    monkeypatch.setattr(near_duplicates, "CLASS_MEMBERS", 1)
+    monkeypatch.setattr(near_duplicates, "FILTER_BITS", 1 << 16)
+    text = near_duplicates.near_duplicates(df.select(F.concat(F.lit("x"), F.lpad("id", 6, "0")).alias("id"), "t", "b"), "id", "t", "b", words=3, threshold=(1, 2), blocks=64)
+    assert {(int(r["a"][1:]), int(r["b"][1:])) for r in near_duplicates.linked_pairs(text).collect()} == links
     groups = {r["id"]: r["group_id"] for r in near_duplicates.groups(found).collect()}
     assert all(groups[a] == groups[b] for a, b in want)
     empty = near_duplicates.near_duplicates(df.where("false"), "id", "t", "b")
     assert near_duplicates.linked_pairs(empty).count() == 0
 
 
+def test_copies_of_a_class(spark, monkeypatch):
+    """Records with one set of shingles and different keys, more of them than a task lists at once."""
+    monkeypatch.setattr(near_duplicates, "CLASS_MEMBERS", 8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, None, " ".join(words)) for i in range(50)] + [(100 + i, None, " ".join(words[:39] + ["anders"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, t string, b string")
+    same = near_duplicates.near_duplicates(df, "id", "t", "b", copy_ledger.canonical_key("t", "b"), words=3, threshold=(1, 2), blocks=16)
+    assert {tuple(r) for r in near_duplicates.linked_pairs(same).collect()} == {(a, b) for a in range(50) for b in range(100, 120)}
+    apart = near_duplicates.near_duplicates(df, "id", "t", "b", words=3, threshold=(1, 2), blocks=16)
+    assert near_duplicates.linked_pairs(apart).count() == 70 * 69 // 2
+
+
+def test_bloom_filter(spark):
+    df = spark.range(5_000).select(F.xxhash64("id").alias("h"))
+    bits = near_duplicates.bloom_filter(df, "h", 5_000)
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h")).toPandas()["h"].to_numpy()
+    hit = near_duplicates.may_contain(bits, hashes)
+    assert hit[:5_000].all() and hit[5_000:].mean() < 0.02
+
+
 def test_large_blocks(spark):
     """More sets in a block than one task pairs: the fragments find every pair."""
     base = [f"u{k}" for k in range(120)]
