@@ -54,10 +54,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a name in the shared file system."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    fs, jvm_path = file_system(spark, path)
+    fs.delete(jvm_path, True)
 
 
 def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
