@@ -1,10 +1,16 @@
 """Duplicates hidden by formatting, counted in an incremental ledger.
 
-Records are equal if only letters and digits, regardless of case, are compared. The
-fields of a head line (``name: value`` pairs on the first line) count in any order. The
-ledger keeps one row per canonical key, in buckets of the key: its number of copies and
-its earliest record. Each batch is aggregated, full-outer-joined with the matching
-buckets, the counts are added and the earlier representative stays.
+Records are equal if only letters, their marks and digits, regardless of case, are compared
+(in the composed form of Unicode). The fields of a head line (``name: value`` pairs on the
+first line) count in any order. The ledger keeps one row per canonical key, in buckets of
+the key: its number of copies and its earliest record. Each batch is aggregated,
+full-outer-joined with the buckets that its keys fall into, the counts are added and the
+earlier representative stays; the other buckets are neither read nor written.
+
+The ledger is a folder: a folder for each version with the buckets written by it, and a
+manifest for each version that names the folder of every bucket. A batch counts once its
+manifest is there, so a failed one leaves the ledger as it was. The number of buckets follows
+the number of rows; it doubles when a bucket would have more than twice ``bucket_rows``.
 
 Defined results: a null title equals an empty one; rows with a null or empty body are no
 records and get no key; rows without an arrival time come after all others; among equal
@@ -14,6 +20,7 @@ batch leaves the ledger as it is. Only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -21,23 +28,30 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.runtime import remove, stage, work_dir
+from loomline.runtime import file_system, remove, stage, work_dir
 
 _NAME = r"\p{L}[\p{L}\p{N}_-]*\s*:"
 #: A first line, ended by a line feed, that opens with a field and has another one.
 HEAD_LINE = r"^\s*" + _NAME + r"[^\n]*[^\n\p{L}\p{N}_-]" + _NAME + r"[^\n]*\n"
 _BETWEEN = r"(?<![\p{L}\p{N}_-])(?=" + _NAME + ")"
-_OTHER = r"[^\p{L}\p{N}]+"
+_OTHER = r"[^\p{L}\p{M}\p{N}]+"
+#: What composition may change: marks, and the letters of Korean that are composed without any.
+_COMPOSABLE = r"[\p{M}\x{1100}-\x{11FF}]"
+
+
+def composed(text: Column) -> Column:
+    """The text in the composed form of Unicode (NFC), by the library that Spark compares strings with."""
+    return F.when(text.rlike(_COMPOSABLE), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))).otherwise(text)
 
 
 def letters(text: Column) -> Column:
-    """Letters and digits only, in lower case; the sharp s is the two letters that its upper case is."""
+    """Letters, marks and digits only, in lower case; the sharp s is the two letters that its upper case is."""
     return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _OTHER, "")
 
 
 def canonical_key(title: str, body: str) -> Column:
     """struct<k1, k2> of two independent 64-bit hashes; null for a null or empty body."""
-    t, b = F.coalesce(F.col(title), F.lit("")), F.col(body)
+    t, b = composed(F.coalesce(F.col(title), F.lit(""))), composed(F.col(body))
     first = F.substring_index(b, "\n", 1)
     fields = F.array_sort(F.filter(F.transform(F.split(first, _BETWEEN), letters), lambda x: x != ""))
     headed = F.concat_ws("\x02", F.concat_ws("\x01", fields), letters(F.substring(b, F.length(first) + 1, 1 << 30)))
@@ -45,49 +59,88 @@ def canonical_key(title: str, body: str) -> Column:
     return F.when(F.length(b) > 0, F.struct(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(17), plain).alias("k2")))
 
 
+_ROW = "k1 long, k2 long, copies long, first_at timestamp, first_id long"
+
+
 @dataclass
 class CopyLedger:
-    """A ledger table in the shared folder: k1, k2, copies, first_at, first_id; partitioned by bucket."""
+    """A ledger in a folder; one writer at a time."""
 
     spark: SparkSession
-    name: str = "copy-ledger"
-    buckets: int = 8
+    folder: str
+    bucket_rows: int = 3_000_000  # about 128 MB
     version: int = 0
-    _at: dict[int, str] = field(default_factory=dict)  # bucket -> folder of its current version
+    buckets: int = 0
+    rows: int = 0
+    at: dict[int, int] = field(default_factory=dict)  # bucket -> version that wrote it
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, bucket_rows: int = 3_000_000) -> CopyLedger:
+        """The ledger as its latest manifest tells it, or an empty one."""
+        ledger = cls(spark, folder.rstrip("/"), bucket_rows)
+        fs, path = file_system(spark, f"{ledger.folder}/manifest")
+        if fs.exists(path):
+            names = [n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("v")]
+            if names:
+                text = spark.read.text(f"{ledger.folder}/manifest/{max(names)}", wholetext=True).first()[0]
+                known = json.loads(text)
+                ledger.version, ledger.buckets, ledger.rows = known["version"], known["buckets"], known["rows"]
+                ledger.at = {int(b): v for b, v in known["at"].items()}
+        return ledger
 
     def table(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """The ledger, or the buckets asked for."""
-        schema = "k1 long, k2 long, copies long, first_at timestamp, first_id long"
-        want = self._at if buckets is None else [b for b in buckets if b in self._at]
-        paths = [f"{self._at[b]}/bucket={b}" for b in want]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        want = self.at if buckets is None else [b for b in buckets if b in self.at]
+        paths = [f"{self.folder}/v{self.at[b]:08d}/bucket={b}" for b in want]
+        return self.spark.read.schema(_ROW).parquet(*paths) if paths else self.spark.createDataFrame([], _ROW)
 
-    def add(self, batch: DataFrame) -> None:
-        """Merge a batch of (k1, k2, at, id) rows; only buckets that the batch touches are read and written."""
+    def add(self, batch: DataFrame) -> list[int]:
+        """Merge a batch of (k1, k2, at, id) rows and return the buckets that were written."""
         fresh = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(F.col("at").isNull().alias("late"), "at", "id")).alias("f"))
-        fresh = fresh.select("k1", "k2", "n", F.col("f.at").alias("at"), F.col("f.id").alias("id"), F.pmod(F.col("k1"), F.lit(self.buckets)).cast("int").alias("bucket"))
-        if self._at:
-            fresh = stage(fresh, f"{self.name}-batch")
-            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        fresh = stage(fresh.select("k1", "k2", "n", F.col("f.at").alias("at"), F.col("f.id").alias("id")), "ledger-batch")
+        count, buckets = fresh.count(), max(self.buckets, 1)
+        while self.rows + count > 2 * buckets * self.bucket_rows:
+            buckets *= 2
+        bucket = F.pmod(F.col("k1"), F.lit(buckets)).cast("int").alias("bucket")
+        if buckets != self.buckets:
+            touched = list(range(buckets))
+            old = self.table()
         else:
-            touched = list(range(self.buckets))
-        old = self.table(touched)
+            touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect())  # at most ``buckets`` numbers
+            old = self.table(touched)
+        if not count:
+            return []
         both = fresh.join(old, ["k1", "k2"], "full_outer")
         earlier = F.least(
             F.when(F.col("copies").isNotNull(), F.struct(F.col("first_at").isNull().alias("late"), F.col("first_at").alias("at"), F.col("first_id").alias("id"))),
             F.when(F.col("n").isNotNull(), F.struct(F.col("at").isNull().alias("late"), F.col("at").alias("at"), F.col("id").alias("id"))),
         )
         merged = both.select("k1", "k2", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), earlier.alias("f"))
-        merged = merged.select("k1", "k2", "copies", F.col("f.at").alias("first_at"), F.col("f.id").alias("first_id"), F.pmod(F.col("k1"), F.lit(self.buckets)).cast("int").alias("bucket"))
-        self.version += 1
-        path = f"{work_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}-v{self.version}"
-        merged.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        found = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
-        stale = [(b, self._at[b]) for b in touched if b in self._at]
-        self._at |= {int(n.split("=")[1]): path for s in found if (n := s.getPath().getName()).startswith("bucket=")}
-        for b, folder in stale:  # a bucket's earlier version is no longer read
-            remove(self.spark, f"{folder}/bucket={b}")
+        merged = merged.select("k1", "k2", "copies", F.col("f.at").alias("first_at"), F.col("f.id").alias("first_id"), bucket)
+        version = self.version + 1
+        path = f"{self.folder}/v{version:08d}"
+        # one file a bucket; what a failed attempt at this version left is overwritten
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+        fs, folder = file_system(self.spark, path)
+        written = sorted(int(n.split("=")[1]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("bucket="))
+        stale = [(b, v) for b, v in self.at.items() if b in set(touched) or buckets != self.buckets]
+        kept = {b: v for b, v in self.at.items() if (b, v) not in set(stale)}
+        before = self.table(b for b, _ in stale).count() if stale else 0
+        rows = self.rows - before + self.spark.read.schema(_ROW).parquet(path).count()
+        self.version, self.buckets, self.rows, self.at = version, buckets, rows, kept | dict.fromkeys(written, version)
+        self._note()
+        for b, v in stale:  # named by no manifest but older ones
+            remove(self.spark, f"{self.folder}/v{v:08d}/bucket={b}")
+        return written
+
+    def _note(self) -> None:
+        """Write the manifest under another name first, so that it is there as a whole or not at all."""
+        fs, path = file_system(self.spark, f"{self.folder}/manifest/v{self.version:08d}")
+        _, draft = file_system(self.spark, f"{self.folder}/manifest/draft-{self.version:08d}")
+        out = fs.create(draft, True)
+        out.write(json.dumps({"version": self.version, "buckets": self.buckets, "rows": self.rows, "at": self.at}).encode())
+        out.close()
+        fs.rename(draft, path)
 
 
 @dataclass
@@ -98,16 +151,18 @@ class Copies:
     ledger: DataFrame
 
 
-def collapse(df: DataFrame, id_col: str, title_col: str, body_col: str, at_col: str, batches: int = 3) -> Copies:
+def collapse(df: DataFrame, id_col: str, title_col: str, body_col: str, at_col: str, batches: int = 3, folder: str | None = None) -> Copies:
     """Collapse records equal but for formatting, arriving in batches by ``at_col``.
 
     The texts are read once; batches are equal spans of the arrival times, merged one
-    after another into the ledger as separate loads would be.
+    after another into the ledger as separate loads would be. A ledger in ``folder`` goes on
+    from what it holds and stays there; without a folder it goes when the application ends.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(at_col).cast("timestamp").alias("at"), canonical_key(title_col, body_col).alias("k")).where("k is not null")
     keys = stage(rows.select("id", "at", "k.k1", "k.k2"), "copy-keys")
     lo, hi = keys.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
-    ledger = CopyLedger(df.sparkSession)
+    ledger = CopyLedger.open(spark, folder or f"{work_dir(spark)}/copy-ledger-{uuid.uuid4().hex}")
     span = max(1, ((hi or 0) - (lo or 0)) // batches + 1)
     number = F.coalesce(F.floor((F.unix_micros("at") - F.lit(lo or 0)) / span), F.lit(batches - 1))
     for n in range(batches):

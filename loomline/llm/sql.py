@@ -15,6 +15,16 @@ _LINES = r"""
   often AS (SELECT outlet_clean, line FROM real JOIN n USING (outlet_clean) GROUP BY outlet_clean, line, docs
             HAVING count(DISTINCT row_idx) >= 8 AND count(DISTINCT row_idx) * 20 >= docs)"""
 
+_COPIES = r"""
+WITH k AS (
+  SELECT row_idx, ingested_at, regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\pL\pM\pN]+', '', 'g') AS t, split_part(body, chr(10), 1) AS first_line, body
+  FROM (SELECT * REPLACE (nfc_normalize(body) AS body) FROM preprocess_final WHERE length(body) > 0)),
+c AS (
+  SELECT row_idx, ingested_at, t, CASE WHEN regexp_matches(body, '^\s*\pL[\pL\pN_-]*\s*:[^\n]*[^\n\pL\pN_-]\pL[\pL\pN_-]*\s*:[^\n]*\n') THEN
+    array_to_string(list_sort(list_filter(list_transform(string_split(regexp_replace(first_line, '(^|[^\pL\pN_-])(\pL[\pL\pN_-]*\s*:)', '\1' || chr(1) || '\2', 'g'), chr(1)),
+      lambda x: regexp_replace(lower(x), '[^\pL\pM\pN]+', '', 'g')), lambda x: x <> '')), chr(1)) || chr(2) || regexp_replace(lower(substr(body, length(first_line) + 1)), '[^\pL\pM\pN]+', '', 'g')
+    ELSE regexp_replace(lower(body), '[^\pL\pM\pN]+', '', 'g') END AS b FROM k)"""
+
 ORACLES = {
     "p1_blocks": f"""WITH RECURSIVE {_LINES},
   step AS (SELECT outlet_clean, row_idx, line AS a, lead(line) OVER (PARTITION BY row_idx ORDER BY line_no) AS b FROM real),
@@ -39,16 +49,10 @@ WITH cells AS ({_CELLS}),
 SELECT t.outlet_clean, t.year, CAST(t.on_topic_flag AS INTEGER) AS on_topic
 FROM strata_targets t LEFT JOIN pool p USING (outlet_clean, year, on_topic_flag), n
 WHERE coalesce(pool, 0) < t.min_rows OR coalesce(pool, 0) < t.target_share * n.size""",
-    "p5_found": r"""
-WITH k AS (
-  SELECT row_idx, regexp_replace(lower(coalesce(title, '')), '[^\pL\pN]+', '', 'g') AS t, split_part(body, chr(10), 1) AS first_line, body
-  FROM preprocess_final WHERE length(body) > 0),
-c AS (
-  SELECT row_idx, t, CASE WHEN regexp_matches(body, '^\s*\pL[\pL\pN_-]*\s*:[^\n]*[^\n\pL\pN_-]\pL[\pL\pN_-]*\s*:[^\n]*\n') THEN
-    array_to_string(list_sort(list_filter(list_transform(string_split(regexp_replace(first_line, '(^|[^\pL\pN_-])(\pL[\pL\pN_-]*\s*:)', '\1' || chr(1) || '\2', 'g'), chr(1)),
-      lambda x: regexp_replace(lower(x), '[^\pL\pN]+', '', 'g')), lambda x: x <> '')), chr(1)) || chr(2) || regexp_replace(lower(substr(body, length(first_line) + 1)), '[^\pL\pN]+', '', 'g')
-    ELSE regexp_replace(lower(body), '[^\pL\pN]+', '', 'g') END AS b FROM k)
+    "p5_found": _COPIES + """
 SELECT x.row_idx AS row_idx_a, y.row_idx AS row_idx_b FROM c x JOIN c y ON x.t = y.t AND x.b = y.b AND x.row_idx < y.row_idx""",
+    "p5_ledger": _COPIES + """
+SELECT arg_min(row_idx, struct_pack(late := ingested_at IS NULL, at := ingested_at, id := row_idx)) AS row_idx, CAST(count(*) AS BIGINT) AS copies, min(ingested_at) AS first_ingested_at FROM c GROUP BY t, b""",
 }
 
 

@@ -125,3 +125,30 @@ def test_copies(spark):
     assert pairs == {(1, 2), (4, 5), (4, 10), (5, 10), (8, 9)}
     assert {(r["first_id"], r["copies"]) for r in found.ledger.collect()} == {(2, 2), (3, 1), (10, 3), (8, 2)}
     assert copy_ledger.collapse(df.where("false").withColumn("at", F.to_timestamp("at")), "id", "t", "b", "at").ledger.count() == 0
+
+
+def test_marks_and_composition(spark):
+    """The composed and the decomposed form of a letter are one; signs that are part of a word count."""
+    rows = [(1, None, "Café één"), (2, None, "cafe\u0301 e\u0301e\u0301n"), (3, None, "cafe een"), (4, "कि", "x"), (5, "का", "x"), (6, None, "한글"), (7, None, "\u1112\u1161\u11ab\u1100\u1173\u11af")]
+    keys = {r["id"]: r["k"] for r in spark.createDataFrame(rows, "id long, t string, b string").select("id", copy_ledger.canonical_key("t", "b").alias("k")).collect()}
+    assert keys[1] == keys[2] != keys[3] and keys[4] != keys[5] and keys[6] == keys[7]
+
+
+def test_ledger_opens_again(spark, tmp_path):
+    """A ledger that is opened again goes on; a small batch writes only its buckets; a failed batch leaves no trace."""
+    folder = f"file://{tmp_path}/ledger"
+    rows = [(k, -k, "2020-01-02 00:00:00", 1000 + k) for k in range(200)]
+    batch = lambda rs: spark.createDataFrame(rs, "k1 long, k2 long, at string, id long").withColumn("at", F.to_timestamp("at"))
+    ledger = copy_ledger.CopyLedger.open(spark, folder, bucket_rows=10)
+    assert len(ledger.add(batch(rows))) == ledger.buckets == 16 and ledger.rows == 200
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "ledger").rglob("*.parquet")}
+    again = copy_ledger.CopyLedger.open(spark, folder, bucket_rows=10)
+    assert again.add(batch([(3, -3, "2020-01-01 00:00:00", 7), (19, -19, None, 8), (19, 5, "2021-01-01 00:00:00", 9)])) == [3] and again.rows == 201
+    left = {p for p in files if p.exists() and p.stat().st_mtime_ns == files[p]}
+    assert {p.parent.name for p in files.keys() - left} == {"bucket=3"}
+    assert again.add(batch([])) == [] and again.version == 2
+    (tmp_path / "ledger" / "manifest" / "draft-00000003").write_text("{")
+    third = copy_ledger.CopyLedger.open(spark, folder, bucket_rows=10)
+    got = {(r["k1"], r["k2"]): (r["copies"], r["first_id"]) for r in third.table().collect()}
+    assert len(got) == 201 and got[3, -3] == (2, 7) and got[19, -19] == (2, 1019) and got[19, 5] == (1, 9) and got[0, 0] == (1, 1000)
+    assert third.add(batch([(k, k, None, k) for k in range(1_000, 1_300)])) and third.buckets == 32 and third.table().count() == 501 == third.rows
