@@ -39,9 +39,13 @@ _OTHER = r"[^\p{L}\p{M}\p{N}]+"
 _COMPOSABLE = r"[\p{M}\x{1100}-\x{11FF}]"
 
 
-def composed(text: Column) -> Column:
-    """The text in the composed form of Unicode (NFC), by the library that Spark compares strings with."""
-    return F.when(text.rlike(_COMPOSABLE), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))).otherwise(text)
+def composed(df: DataFrame, *cols: str) -> DataFrame:
+    """The table with text columns in the composed form of Unicode (NFC), by the library that Spark compares strings with.
+
+    A step of its own: Spark would evaluate the call again wherever a column is used.
+    """
+    of = lambda c: F.when(F.col(c).rlike(_COMPOSABLE), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.col(c), F.lit(False))).otherwise(F.col(c))
+    return df.withColumns({c: of(c) for c in cols})
 
 
 def letters(text: Column) -> Column:
@@ -50,13 +54,15 @@ def letters(text: Column) -> Column:
 
 
 def canonical_key(title: str, body: str) -> Column:
-    """struct<k1, k2> of two independent 64-bit hashes; null for a null or empty body."""
-    t, b = composed(F.coalesce(F.col(title), F.lit(""))), composed(F.col(body))
+    """struct<k1, k2> of two independent 64-bit hashes of :func:`composed` texts; null for a null or empty body."""
+    t, b = F.coalesce(F.col(title), F.lit("")), F.col(body)
     first = F.substring_index(b, "\n", 1)
     fields = F.array_sort(F.filter(F.transform(F.split(first, _BETWEEN), letters), lambda x: x != ""))
     headed = F.concat_ws("\x02", F.concat_ws("\x01", fields), letters(F.substring(b, F.length(first) + 1, 1 << 30)))
     plain = F.concat(letters(t), F.lit("\x03"), F.when(b.rlike(HEAD_LINE), headed).otherwise(letters(b)))
-    return F.when(F.length(b) > 0, F.struct(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(17), plain).alias("k2")))
+    # bound to a variable, as the text would be made for each hash apart
+    keys = F.transform(F.array(plain), lambda x: F.struct(F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(17), x).alias("k2")))
+    return F.when(F.length(b) > 0, F.get(keys, F.lit(0)))
 
 
 _ROW = "k1 long, k2 long, copies long, first_at timestamp, first_id long"
@@ -159,7 +165,8 @@ def collapse(df: DataFrame, id_col: str, title_col: str, body_col: str, at_col:
     from what it holds and stays there; without a folder it goes when the application ends.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(at_col).cast("timestamp").alias("at"), canonical_key(title_col, body_col).alias("k")).where("k is not null")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(at_col).cast("timestamp").alias("at"), F.col(title_col).alias("t"), F.col(body_col).alias("b"))
+    rows = composed(rows, "t", "b").select("id", "at", canonical_key("t", "b").alias("k")).where("k is not null")
     keys = stage(rows.select("id", "at", "k.k1", "k.k2"), "copy-keys")
     lo, hi = keys.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
     ledger = CopyLedger.open(spark, folder or f"{work_dir(spark)}/copy-ledger-{uuid.uuid4().hex}")

@@ -66,7 +66,8 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
-    return near_duplicates.near_duplicates(_read(spark, d, "preprocess_final"), "row_idx", "title", "body", copy_ledger.canonical_key("title", "body"), words=3, threshold=(1, 2), blocks=64, rows=4)
+    articles = copy_ledger.composed(_read(spark, d, "preprocess_final").select("row_idx", "title", "body"), "title", "body")
+    return near_duplicates.near_duplicates(articles, "row_idx", "title", "body", copy_ledger.canonical_key("title", "body"), words=3, threshold=(1, 2), blocks=64, rows=4)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

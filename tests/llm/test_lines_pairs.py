@@ -130,7 +130,7 @@ def test_copies(spark):
 def test_marks_and_composition(spark):
     """The composed and the decomposed form of a letter are one; signs that are part of a word count."""
     rows = [(1, None, "Café één"), (2, None, "cafe\u0301 e\u0301e\u0301n"), (3, None, "cafe een"), (4, "कि", "x"), (5, "का", "x"), (6, None, "한글"), (7, None, "\u1112\u1161\u11ab\u1100\u1173\u11af")]
-    keys = {r["id"]: r["k"] for r in spark.createDataFrame(rows, "id long, t string, b string").select("id", copy_ledger.canonical_key("t", "b").alias("k")).collect()}
+    keys = {r["id"]: r["k"] for r in copy_ledger.composed(spark.createDataFrame(rows, "id long, t string, b string"), "t", "b").select("id", copy_ledger.canonical_key("t", "b").alias("k")).collect()}
     assert keys[1] == keys[2] != keys[3] and keys[4] != keys[5] and keys[6] == keys[7]
 
 
