@@ -4,7 +4,7 @@ A record is the set of its shingles (runs of successive words). Its fingerprint
 vector of minhash symbols, cut into blocks of ``rows`` symbols: records whose fingerprints
 differ in fewer positions than there are blocks share a block, and at similarity s each
 block is shared with probability s ** rows. Records are joined on blocks, pairs are
-verified by the Hamming distance of one-bit symbols (128 bits, apart from the blocks), and
+verified by the Hamming distance of their fingerprints with one bit kept of each symbol, and
 the pairs left by their exact similarity.
 
 Equal shingle sets are one class before blocks are joined, so groups of copies cost one
@@ -29,6 +29,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,6 @@ from pyspark.sql import functions as F
 
 from loomline.runtime import broadcast_if_small, expand_pairs, stage
 
-#: Bits of the sketch whose Hamming distance is checked before the exact similarity.
-SKETCH_BITS = 128
 #: Members of a block that one task pairs at once; larger blocks are cut into fragments.
 BLOCK_MEMBERS = 64
 #: Rows of the join on blocks that one task should get.
@@ -130,13 +130,14 @@ def may_contain(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def fingerprint(words: int, blocks: int, rows: int, seed: int):
     """Arrow batches (id, k1, k2, t, b) to rows (block, set_id, member, id) for the join on blocks.
 
-    One row a record carries (k1, k2, n, sketch) as five 64-bit numbers in ``member`` and its id,
+    One row a record carries (k1, k2, n, one bit a symbol) as 64-bit numbers in ``member`` and its id,
     so that the blocks need the texts only once.
     """
     rng = np.random.default_rng(seed)
     symbols = blocks * rows
-    mult = rng.integers(0, 2**31, symbols + SKETCH_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    add = rng.integers(0, 2**32, len(mult), dtype=np.uint64).astype(np.uint32)
+    width = 3 + -(-symbols // 64)
+    mult = rng.integers(0, 2**31, symbols, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    plus = rng.integers(0, 2**32, len(mult), dtype=np.uint64).astype(np.uint32)
     mixes = rng.integers(0, 2**63, 17, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     weight = (np.uint64(1) << np.arange(64, dtype=np.uint64))[:, None]
 
@@ -162,14 +163,15 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
                     hi = min(lo + 256, count)
                     own, at = [x[starts[lo] : starts[hi - 1] + sizes[hi - 1]] for x in xs], starts[lo:hi] - starts[lo]
                     for k in range(len(mult)):
-                        sig[k, lo:hi] = np.minimum.reduceat(own[k % len(own)] * mult[k] + add[k], at)
-                bit = ((sig[symbols:] * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint64)
-                member = np.empty((count, 5), dtype=np.int64)
+                        sig[k, lo:hi] = np.minimum.reduceat(own[k % len(own)] * mult[k] + plus[k], at)
+                bit = ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint64)
+                member = np.empty((count, width), dtype=np.int64)
                 for i, c in enumerate(("k1", "k2")):
                     member[:, i] = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
                 member[:, 2] = sizes
-                member[:, 3] = (bit[:64] * weight).sum(0, dtype=np.uint64).view(np.int64)
-                member[:, 4] = (bit[64:] * weight).sum(0, dtype=np.uint64).view(np.int64)
+                for i in range(3, width):
+                    own = bit[64 * (i - 3) : 64 * (i - 2)]
+                    member[:, i] = (own * weight[: len(own)]).sum(0, dtype=np.uint64).view(np.int64)
                 new = np.array([i for i, v in enumerate(set_id.tolist()) if not (v in seen or seen.add(v))], dtype=np.int64)
                 if len(seen) > 500_000:
                     seen.clear()  # it only saves work: equal sets are told apart by their number anyway
@@ -181,7 +183,7 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
                         h ^= h >> np.uint64(32)
                     block[:, b] = h
                 spread = set_id * np.uint64(0x9E3779B97F4A7C15) + np.arange(count, dtype=np.uint64)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(40), count, [None, pa.py_buffer(member.tobytes())]).cast(pa.binary())
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), count, [None, pa.py_buffer(member.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([block.reshape(-1), spread]).view(np.int64)),
@@ -195,15 +197,24 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
     return run
 
 
-_PAIRED = "block long, a long, b long, k1 long, k2 long, n long, s1 long, s2 long"
+def paired_schema(symbols: int, id_type: str) -> str:
+    """Columns of :func:`block_pairs`; s0, s1, ... hold the bits of the fingerprint."""
+    return ", ".join([*(f"{c} long" for c in ("block", "a", "b", "k1", "k2", "n")), *(f"s{i} long" for i in range(-(-symbols // 64))), f"id {id_type}"])
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (block, set_id, member, id) to pairs (null, a, b) within blocks of up to BLOCK_MEMBERS sets.
+def block_pairs(symbols: int):
+    """A function from batches of sorted (block, set_id, member, id) to batches of :func:`paired_schema`."""
+    names = [c.split()[0] for c in paired_schema(symbols, "").split(", ")]
+    return lambda batches: _block_pairs(batches, names)
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pairs (null, a, b) within blocks of up to BLOCK_MEMBERS sets.
 
     Sets of larger blocks go on as (block, a, null), members as (null, set_id, null, ...).
     At most BLOCK_MEMBERS sets of a block are held at a time.
     """
+    width = len(names) - 4
     held_block, held, large = None, [], False
     k: list = []
     a: list = []
@@ -225,12 +236,12 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(extra: np.ndarray, sets: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
         none = pa.nulls(len(sets), pa.int64())
         cols = [pa.concat_arrays([pa.array(v, type=pa.int64()), w]) for v, w in ((k, none), (a, pa.array(sets)), (b, none))]
-        cols += [pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(np.ascontiguousarray(extra[:, i]))]) for i in range(5)]
+        cols += [pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(np.ascontiguousarray(extra[:, i]))]) for i in range(width)]
         cols.append(pa.concat_arrays([pa.nulls(len(k), ids.type), ids]))
         k.clear(), a.clear(), b.clear()
-        return pa.RecordBatch.from_arrays(cols, names=[*(c.split()[0] for c in _PAIRED.split(", ")), "id"])
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
-    nobody, ids = (np.empty((0, 5), dtype=np.int64), np.empty(0, dtype=np.int64)), None
+    nobody, ids = (np.empty((0, width), dtype=np.int64), np.empty(0, dtype=np.int64)), None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -238,7 +249,7 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_block = member.is_null().to_numpy(zero_copy_only=False)
         block, item = (batch.column(c).to_numpy() for c in ("block", "set_id"))
         packed = member.drop_null()
-        extra, sets = (np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int64).reshape(-1, 5), item[~is_block]) if len(packed) else nobody
+        extra, sets = (np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int64).reshape(-1, width), item[~is_block]) if len(packed) else nobody
         ids = batch.column("id").filter(pa.array(~is_block))
         block, item = block[is_block], item[is_block]
         if len(block):
@@ -278,18 +289,19 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     kind = dict(base.dtypes)["id"]
     marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed), f"block long, set_id long, member binary, id {kind}")
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * (blocks + 1) // TASK_ROWS))
-    both = stage(marks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(block_pairs, f"{_PAIRED}, id {kind}"), "near-pairs", free=True)
-    members = both.where("id is not null").select("id", F.col("a").alias("set_id"), "k1", "k2", "n", "s1", "s2")
+    both = stage(marks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(block_pairs(blocks * rows), paired_schema(blocks * rows, kind)), "near-pairs", free=True)
+    bits = [c for c in both.columns if c[0] == "s"]
+    members = both.where("id is not null").select("id", F.col("a").alias("set_id"), "k1", "k2", "n", *bits)
     small = both.where("b is not null").select("a", "b")
     large = expand_pairs(both.where("block is not null").select("block", "a"), "block", "a").select("a", "b")
 
-    # at similarity s two sketches differ in (1 - s) / 2 of their bits; leave 3.5 standard deviations
+    # at similarity s two fingerprints differ in (1 - s) / 2 of their bits, less the shared block; leave 3.5 standard deviations
     share = (1 - num / den) / 2
-    most = int(SKETCH_BITS * share + 3.5 * (SKETCH_BITS * share * (1 - share)) ** 0.5)
-    one = members.groupBy("set_id").agg(F.min(F.struct("id", "n", "s1", "s2")).alias("m")).select("set_id", "m.*")
-    x = one.select(F.col("set_id").alias("a"), F.col("id").alias("ida"), F.col("n").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    y = one.select(F.col("set_id").alias("b"), F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    near = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= most
+    most = int(blocks * rows * share + 3.5 * (blocks * rows * share * (1 - share)) ** 0.5)
+    one = members.groupBy("set_id").agg(F.min(F.struct("id", "n", *bits)).alias("m")).select("set_id", "m.*")
+    x = one.select(F.col("set_id").alias("a"), F.col("id").alias("ida"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in bits])
+    y = one.select(F.col("set_id").alias("b"), F.col("id").alias("idb"), F.col("n").alias("nb"), *[F.col(c).alias(f"b{c}") for c in bits])
+    near = reduce(add, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in bits)) <= most
     fits = near & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     checked = small.unionByName(large).distinct().join(x, "a").join(y, "b").where(fits)
     checked = stage(checked.select("a", "b", "ida", "idb", "na", "nb"), "near-checked", free=True)
