@@ -50,9 +50,19 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return _balanced(spark, d).sample
 
 
+#: How outlets are typed: editions and addresses around a name, digits for letters, letters that sound alike.
+SPELLING = canonical_values.Spelling(
+    before=("www", "krant", "editie"),
+    after=("online", "print", "digitaal", "zaterdag", "editiezuid", "nl", "on", "pr"),
+    digits={"3": "e", "0": "o", "1": "l", "4": "a", "5": "s", "7": "t"},
+    sounds=(("ij", "y"), ("oe", "u"), ("k", "c")),
+    ands=("en", "and"),
+)
+
+
 def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     unknown = _read(spark, d, "preprocess_final").where("outlet_clean is null").select("row_idx", "outlet")
-    return unknown, canonical_values.map_values(unknown, "outlet", _read(spark, d, "outlet_reference"), "outlet_clean", ["outlet_clean", "full_name", "news_brand"], "home_place")
+    return unknown, canonical_values.map_values(unknown, "outlet", _read(spark, d, "outlet_reference"), "outlet_clean", ["outlet_clean", "full_name", "news_brand"], "home_place", SPELLING)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from loomline.llm import balanced_sample, canonical_values, mixing, packing, tokens, wrong_encoding
+from loomline.llm.queries import SPELLING
 
 
 def test_balanced_sample(spark):
@@ -29,18 +30,38 @@ def test_cube_keeps_totals():
         assert set(s) <= {0.0, 1.0} and s.sum() == 12 and s[1::2].sum() == 6
 
 
+REFERENCE = [("Merelander", "De Merelander", "MRL", "Merelkerke"), ("Tarnse Courant", "Tarnse Courant", "TRC", "Tarn"), ("Zeeëndijker", "De Zeeëndijker", "ZED", "Zee")]
+
+
 def test_canonical_values(spark):
-    ref = spark.createDataFrame([("Merelander", "De Merelander", "MRL", "Merelkerke"), ("Tarnse Courant", "Tarnse Courant", "TRC", "Tarn"), ("Zeeëndijker", "De Zeeëndijker", "ZED", "Zee")], "e string, f string, c string, p string")
-    want = {"  de merelnader": "Merelander", "Courant, Tarnse": "Tarnse Courant", "D3 M3r31and3r": "Merelander", "www.tarnse-courant.nl": "Tarnse Courant", "Merelan.": "Merelander", "M.R.L.": "Merelander", "zeeendyker": "Zeeëndijker", "TRC/on": "Tarnse Courant", "Tarnse Courant, editie Zuid": "Tarnse Courant", "De Merelgids": None, "test": None, "": None, "???": None, "Tarnse Tijding": None}
+    ref = spark.createDataFrame(REFERENCE, "e string, f string, c string, p string")
+    want = {"  de merelnader": "Merelander", "Courant, Tarnse": "Tarnse Courant", "D3 M3r31and3r": "Merelander", "www.tarnse-courant.nl": "Tarnse Courant", "Merelan.": "Merelander", "M.R.L.": "Merelander", "zeeendyker": "Zeeëndijker", "TRC/on": "Tarnse Courant", "Tarnse Courant, editie Zuid": "Tarnse Courant", "Merelkerke Merelander": "Merelander", "Merelander (Merelkerke) online": "Merelander", "Merelander Tarn": None, "De Merelgids": None, "test": None, "": None, "???": None, "Tarnse Tijding": None}
     df = spark.createDataFrame([(v, "x") for v in [*want, *want, None]], "v string, entry string")
-    got = {r["v"]: r["entry"] for r in canonical_values.map_values(df, "v", ref, "e", ["e", "f", "c"], "p").collect()}
+    got = {r["v"]: r["entry"] for r in canonical_values.map_values(df, "v", ref, "e", ["e", "f", "c"], "p", SPELLING).collect()}
     assert got == want
+    plain = {r["v"]: r["entry"] for r in canonical_values.map_values(df, "v", ref, "e", ["e", "f", "c"], "p").collect()}
+    assert plain["  de merelnader"] == "Merelander" and plain["D3 M3r31and3r"] is None and plain["TRC/on"] is None
+    assert canonical_values.map_values(df, "v", ref.where("false"), "e", ["e", "f", "c"], "p").where("n_entries > 0").count() == 0
+
+
+def test_canonical_values_all_entries(spark, monkeypatch):
+    """An exact hit does not hide its neighbours; any script; a list in pieces gives the same rows."""
+    names = ["veldpost", "veldpist", "Østersøen", "Ведомости", "朝日新聞", "हिन्दी समाचार", *(f"blad nummer{i:03d}" for i in range(60))]
+    ref = spark.createDataFrame([(n,) for n in [*names, None, "???"]], "e string")
+    df = spark.createDataFrame([(v,) for v in ["veldpost", "VELDPAST", "ostersoen", "ведомостн", "朝日新聞", "हिन्दी समाचार", "blad nummer007"]], "v string")
+    rows = lambda: {r["v"]: (r["entry"], [(e["distance"], e["entry"]) for e in r["entries"]]) for r in canonical_values.map_values(df, "v", ref, "e", ["e"]).collect()}
+    got = rows()
+    assert got["veldpost"] == ("veldpost", [(0, "veldpost"), (1, "veldpist")]) and got["VELDPAST"][0] is None and len(got["VELDPAST"][1]) == 2
+    assert [got[v][0] for v in ("ostersoen", "ведомостн", "朝日新聞", "हिन्दी समाचार")] == names[2:6]
+    assert got["blad nummer007"][0] == "blad nummer007" and len(got["blad nummer007"][1]) > 10
+    monkeypatch.setattr(canonical_values, "PIECE_ENTRIES", 20)
+    assert rows() == got
 
 
 def test_automaton_against_brute_force():
     import random
 
-    rng, names = random.Random(4), ["kwelderbode", "hoogmeerstijding", "veldpost", "grensgalmen"]
+    rng, names = random.Random(4), ["kwelderbode", "hoogmeerstijding", "veldpost", "grensgalmen", "veldpist"]
     trie = canonical_values.Trie([(i, n, "") for i, n in enumerate(names)])
 
     def osa(a, b):
@@ -59,8 +80,8 @@ def test_automaton_against_brute_force():
             i = rng.randrange(len(s))
             s[i : i + 1] = rng.choice([[], [rng.choice("xqz")], [s[i], s[i]]])
         typed = "".join(s)
-        if (d := osa(typed, names[k])) <= min(canonical_values.allowed(len(names[k])), canonical_values.allowed(len(typed))):
-            assert trie.search(typed)[k] <= d
+        limit = lambda n: min(canonical_values.allowed(len(n)), canonical_values.allowed(len(typed)))
+        assert trie.search(typed) == {i: d for i, n in enumerate(names) if (d := osa(typed, n)) <= limit(n)}, typed
 
 
 @pytest.mark.parametrize("capacity", [50, 512, 5_000])
