@@ -189,6 +189,46 @@ def test_wrong_encoding(spark):
     assert got[2000]["restored_runs"] == 0 and got[2004]["restored_text"] == (clean[0] + " ") * 500 + clean[0]
 
 
+@pytest.fixture(scope="module")
+def encoding_model():
+    """A model of Latin texts only."""
+    from collections import Counter
+
+    counts, seen = Counter(), Counter()
+    for i in range(400):
+        text = ["De coöperatieve caféhouder uit Zeeëndijk vindt één ding “belangrijk” en dat is € 5,2 mln", "L’été à la côte est très agréable, près de la forêt", "Für die große Maßnahme gibt es über € 3 – mehr als nötig"][i % 3]
+        for w in dict.fromkeys(w for *_, w in wrong_encoding.windows(f"{text} {i}")):
+            counts[w] += 1
+            seen.update(set(wrong_encoding._parts(w)[1]))
+    return wrong_encoding.train(counts, seen)
+
+
+@pytest.mark.parametrize("depth", range(1, 7))
+def test_wrong_encoding_in_layers(encoding_model, depth):
+    bad = clean = "De coöperatieve caféhouder uit Zeeëndijk"
+    for _ in range(depth):
+        bad = wrong_encoding.garble(bad, "utf_8>cp1252")
+    found, restored, _, text = wrong_encoding.repair(encoding_model, bad)
+    assert found == restored == 3 and text == clean
+
+
+@pytest.mark.parametrize("text", ["Привет мир", "Ελληνικά νέα", "朝日新聞が伝えた", "środę będzie więcej świeżych żółtych", "한국어 신문"])
+@pytest.mark.parametrize("codec", ["cp1252", "latin_1", "mac_roman"])
+def test_wrong_encoding_of_other_scripts(encoding_model, text, codec):
+    """Words of scripts that the model was not trained on come back, and are clean as they are."""
+    bad = wrong_encoding.garble(text, f"utf_8>{codec}")
+    assert wrong_encoding.repair(encoding_model, bad)[3] == text
+    assert wrong_encoding.repair(encoding_model, text) == (0, 0, None, text)
+
+
+def test_wrong_encoding_names_one_chain(encoding_model):
+    """Runs that several chains could have made are given to the chain of the whole text."""
+    text = "vindt één ding “belangrijk”, dat is € 5, près de la forêt"
+    for clean, chain in ((f"{text}; zuschuß“, zegt hij", "utf_8>cp1252"), (f"{text}; zuschuß“, zegt hij", "utf_8>mac_roman"), (text, "utf_8>cp850"), (text, "cp1252>mac_roman")):
+        found, restored, named, text = wrong_encoding.repair(encoding_model, wrong_encoding.garble(clean, chain))
+        assert (named, text) == (chain, clean) and found == restored
+
+
 @pytest.mark.parametrize("chain", ["cp1252>cp850", "cp1252>mac_roman"])
 def test_wrong_encoding_of_many_copies(spark, chain):
     clean = ["De coöperatieve caféhouder uit Zeeëndijk vindt één ding heel belangrijk", "L’été à la côte est très agréable, près de la forêt", "Für die große Maßnahme gibt es mehr als nötig"]
