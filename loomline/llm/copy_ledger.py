@@ -166,7 +166,8 @@ def collapse(df: DataFrame, id_col: str, title_col: str, body_col: str, at_col:
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(at_col).cast("timestamp").alias("at"), F.col(title_col).alias("t"), F.col(body_col).alias("b"))
-    rows = composed(rows, "t", "b").select("id", "at", canonical_key("t", "b").alias("k")).where("k is not null")
+    # where the key is not null; asked of the key, it would be made once for the question and once more
+    rows = composed(rows.where(F.length("b") > 0), "t", "b").select("id", "at", canonical_key("t", "b").alias("k"))
     keys = stage(rows.select("id", "at", "k.k1", "k.k2"), "copy-keys")
     lo, hi = keys.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
     ledger = CopyLedger.open(spark, folder or f"{work_dir(spark)}/copy-ledger-{uuid.uuid4().hex}")
