@@ -7,7 +7,7 @@ from collections import deque
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 
 def outermost(text: str | None) -> str | None:
@@ -53,6 +53,38 @@ def frames_json(c: pd.Series) -> pd.Series:
     return c.map(lambda t: shallowest(t, "frames"))
 
 
+def labels_of(text: str | None, key: str = "frames") -> list[dict] | None:
+    """The labels under the key nearest to the root: what is stated, the indicators in their order, and all other plain fields."""
+    found = shallowest(text, key)
+    if found is None:
+        return None
+    out = []
+    for name, data in json.loads(found).items():
+        data = data if isinstance(data, dict) else {}
+        marks = data.get("indicators")
+        pairs = list(marks.items()) if isinstance(marks, dict) else []
+        extra = {k: v for k, v in data.items() if k not in ("present", "indicators") and isinstance(v, str)}
+        out.append(
+            {
+                "frame": name,
+                "stated": None if data.get("present") is None else str(data["present"]),
+                "marks": [{"question": q, "answer": str(a)} for q, a in pairs],
+                "indicators": json.dumps(marks, ensure_ascii=False) if marks else None,
+                "extra": extra,
+            }
+        )
+    return out
+
+
+_MARKS = ArrayType(StructType().add("question", StringType()).add("answer", StringType()))
+_LABEL = StructType().add("frame", StringType()).add("stated", StringType()).add("marks", _MARKS).add("indicators", StringType()).add("extra", MapType(StringType(), StringType()))
+
+
+@F.pandas_udf(ArrayType(_LABEL))
+def labels_list(c: pd.Series) -> pd.Series:
+    return c.map(labels_of)
+
+
 def script_payload(html: str | None, name: str = "DATA") -> str | None:
     """The object literal assigned to a constant in the last script of a page, by counting braces outside strings."""
     if not html or (start := html.rfind("<script")) < 0 or (at := html.find(f"const {name} = {{", start)) < 0:

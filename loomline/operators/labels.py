@@ -32,9 +32,13 @@ def pass_table(spark: SparkSession) -> DataFrame:
 
 
 def long_labels(wide: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, frame, raw, present) of every row and label, nulls included, without repeated rows."""
-    long = wide.unpivot(keep, COLUMNS, "column", "raw")
-    return long.select(*keep, F.regexp_replace("column", "_present$", "").alias("frame"), "raw", yes_no(F.col("raw")).alias("present")).distinct()
+    """(keep, frame, raw, present) of every distinct row and label, nulls included.
+
+    Repeated rows go while they are wide; the long rows are then aggregated where they arise
+    and never shuffled one by one.
+    """
+    long = wide.select(*keep, *COLUMNS).distinct().unpivot(keep, COLUMNS, "column", "raw")
+    return long.select(*keep, F.regexp_replace("column", "_present$", "").alias("frame"), "raw", yes_no(F.col("raw")).alias("present"))
 
 
 def prevalence(long: DataFrame, by: list[str]) -> DataFrame:

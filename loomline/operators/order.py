@@ -26,16 +26,85 @@ def dense_ordinal(df: DataFrame, by: list[str], order: str, name: str, start: in
     return running_total(df, by, order, F.lit(1), name, width).withColumn(name, (F.col(name) + (start - 1)).cast("long"))
 
 
+def _starts(sizes: list[int], target: int) -> tuple[list[int], list[int]]:
+    """For a chunk that begins at each item: how much of the last chunk is filled at the end, and how many chunks there are."""
+    n = len(sizes)
+    left, number = [0] * n, [0] * n
+    total, stop = 0, 0  # the chunk from item p holds the items before ``stop``
+    follow = [0] * n
+    for p in range(n):
+        if stop <= p:
+            stop, total = p + 1, sizes[p]
+        while stop < n and not (total > 0 and total + sizes[stop] > target):
+            total += sizes[stop]
+            stop += 1
+        follow[p], left[p] = stop, total
+        total -= sizes[p]
+    for p in reversed(range(n)):
+        q = follow[p]
+        number[p] = 1 + (number[q] if q < n else 0)
+        left[p] = left[q] if q < n else left[p]
+    return left, number
+
+
+def _summary(sizes: list[int], target: int) -> list[tuple[int | None, int, int]]:
+    """(open total above which it holds, total left open at the end, chunks begun) of a range of items.
+
+    The first row, with null, is for an open chunk that is still empty. Where a chunk begins soon
+    does not matter any more to where the last one does, so few rows differ.
+    """
+    left, number = _starts(sizes, target)
+    rows: list[tuple[int | None, int, int]] = []
+    before = 0
+    for p, size in enumerate(sizes):
+        before += size
+        above = target - before
+        if rows and rows[-1][0] == above:  # an empty item: the earlier one begins the chunk
+            continue
+        if rows and rows[-1][1:] == (left[p], number[p]):
+            rows.pop()
+        rows.append((above, left[p], number[p]))
+    return [(None, left[0], number[0] - 1), *rows]
+
+
 def greedy_chunks(df: DataFrame, by: list[str], order: str, size: str, target: int, width: int = 10_000) -> DataFrame:
     """``chunk``: contiguous chunks of at most ``target``, a single larger item being a chunk of its own.
 
-    A chunk starts when the next item would overflow it. Ranges of ``width`` order values
-    are planned apart (the number of a chunk is within its range), so the fold runs in parallel.
+    One fold over each group in the order of a unique whole-number column: a chunk begins when
+    the next item would overflow it. Ranges of ``width`` order values are summed up first, for
+    every total that may be open where they begin; one task a group folds these few rows, and
+    each range is then folded from its own beginning.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        total, number, out = 0, 0, []
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    keys = "".join(f"{c} {kinds[c]}, " for c in by)
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width).cast("long"))
+
+    def head(frame: pd.DataFrame, rows: dict) -> pd.DataFrame:
+        return pd.DataFrame({c: [frame[c].iloc[0]] * len(next(iter(rows.values()))) for c in by} | rows)
+
+    def summarise(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = frame.sort_values(order)[size].astype("int64").tolist()
+        rows = _summary(sizes, target)
+        return head(frame, {"_range": [int(frame["_range"].iloc[0])] * len(rows), "_all": [sum(sizes)] * len(rows), "_above": pd.array([r[0] for r in rows], dtype="Int64"), "_left": [r[1] for r in rows], "_begun": [r[2] for r in rows]})
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {"_range": [], "_open": [], "_chunk": []}
+        total, number = 0, 0
+        for r, rows in frame.groupby("_range", sort=True):
+            for c, v in zip(out, (int(r), total, number)):
+                out[c].append(v)
+            if total == 0:
+                row = rows[rows["_above"].isna()].iloc[0]
+            else:
+                some = rows[rows["_above"] < total]
+                row = None if some.empty else some.loc[some["_above"].idxmax()]
+            total, number = (total + int(rows["_all"].iloc[0]), number) if row is None else (int(row["_left"]), number + int(row["_begun"]))
+        return head(frame, out)
+
+    def run(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty:
+            return frame.assign(chunk=[])
+        frame, total, number, out = frame.sort_values(order), int(state["_open"].iloc[0]), int(state["_chunk"].iloc[0]), []
         for n in frame[size].tolist():
             if total > 0 and total + n > target:
                 total, number = 0, number + 1
@@ -43,8 +112,10 @@ def greedy_chunks(df: DataFrame, by: list[str], order: str, size: str, target: i
             out.append(number)
         return frame.assign(chunk=out)
 
-    df = df.withColumn("chunk_range", F.floor(F.col(order) / width).cast("long"))
-    return df.groupBy(*by, "chunk_range").applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", chunk int")
+    sums = ranged.groupBy(*by, "_range").applyInPandas(summarise, f"{keys}_range long, _all long, _above long, _left long, _begun long")
+    states = sums.groupBy(*by).applyInPandas(fold, f"{keys}_range long, _open long, _chunk long")
+    both = ranged.groupBy(*by, "_range").cogroup(states.groupBy(*by, "_range"))
+    return both.applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", _range long, chunk int").drop("_range")
 
 
 def first_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -40,6 +40,9 @@ def request_generation(t: Tables) -> DataFrame:
     return requests(t).select("custom_id", F.to_json(F.struct("custom_id", body.alias("body"))).alias("line"))
 
 
+#: Tokens of a chunk: four fifths of what a queue of this size takes.
+QUEUE_TOKENS = 25_000
+CHUNK_TOKENS = int(QUEUE_TOKENS * 0.80)
 _USE = "u AS (SELECT DISTINCT article_idx, corpus_type, pass_name, prompt_tokens, completion_tokens FROM token_usage), o AS (SELECT corpus_type, article_idx, CAST(sum(prompt_tokens) AS BIGINT) AS tokens FROM u GROUP BY ALL)"
 
 
@@ -48,15 +51,15 @@ def loads(t: Tables) -> DataFrame:
     return u.groupBy("corpus_type", "article_idx").agg(F.sum("prompt_tokens").alias("tokens"))
 
 
-@query(f"""WITH RECURSIVE {_USE}, n AS (SELECT *, CAST(article_idx // 10000 AS BIGINT) AS r, row_number() OVER (PARTITION BY corpus_type, article_idx // 10000 ORDER BY article_idx) AS k FROM o),
-  f AS (SELECT corpus_type, r, k, article_idx, tokens, tokens AS total, 0 AS chunk FROM n WHERE k = 1
-    UNION ALL SELECT n.corpus_type, n.r, n.k, n.article_idx, n.tokens, CASE WHEN f.total > 0 AND f.total + n.tokens > 20000 THEN n.tokens ELSE f.total + n.tokens END, CASE WHEN f.total > 0 AND f.total + n.tokens > 20000 THEN f.chunk + 1 ELSE f.chunk END
-    FROM f JOIN n ON n.corpus_type = f.corpus_type AND n.r = f.r AND n.k = f.k + 1)
-SELECT corpus_type, r AS chunk_range, CAST(chunk AS INTEGER) AS chunk, min(article_idx) AS first_idx, max(article_idx) AS last_idx, CAST(count(*) AS BIGINT) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_USE}, n AS (SELECT *, row_number() OVER (PARTITION BY corpus_type ORDER BY article_idx) AS k FROM o),
+  f AS (SELECT corpus_type, k, article_idx, tokens, tokens AS total, 0 AS chunk FROM n WHERE k = 1
+    UNION ALL SELECT n.corpus_type, n.k, n.article_idx, n.tokens, CASE WHEN f.total > 0 AND f.total + n.tokens > {CHUNK_TOKENS} THEN n.tokens ELSE f.total + n.tokens END, CASE WHEN f.total > 0 AND f.total + n.tokens > {CHUNK_TOKENS} THEN f.chunk + 1 ELSE f.chunk END
+    FROM f JOIN n ON n.corpus_type = f.corpus_type AND n.k = f.k + 1)
+SELECT corpus_type, CAST(chunk AS INTEGER) AS chunk, min(article_idx) AS first_idx, max(article_idx) AS last_idx, CAST(count(*) AS BIGINT) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY ALL""")
 def chunk_plan(t: Tables) -> DataFrame:
-    """Contiguous chunks of at most 20,000 tokens."""
-    rows = greedy_chunks(loads(t), ["corpus_type"], "article_idx", "tokens", 20_000)
-    return rows.groupBy("corpus_type", "chunk_range", "chunk").agg(F.min("article_idx").alias("first_idx"), F.max("article_idx").alias("last_idx"), F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    """Contiguous chunks of at most ``CHUNK_TOKENS``, one fold over each corpus type."""
+    rows = greedy_chunks(loads(t), ["corpus_type"], "article_idx", "tokens", CHUNK_TOKENS)
+    return rows.groupBy("corpus_type", "chunk").agg(F.min("article_idx").alias("first_idx"), F.max("article_idx").alias("last_idx"), F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 @query(f"WITH {_USE} SELECT corpus_type, article_idx, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(tokens) OVER (PARTITION BY corpus_type ORDER BY article_idx) AS used FROM o) WHERE used <= 150000")
@@ -110,28 +113,12 @@ def parse_json_path(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-def answers(t: Tables) -> DataFrame:
-    """Model answers with prose before the object, made from the token table; some hold two objects, some none."""
-    one = F.format_string('Zeker: {"frames": {"conflict": {"present": "%s", "indicators": {"q1": "yes"}}}, "n": %d}', F.when(F.col("prompt_tokens") % 2 == 0, "yes").otherwise("no"), F.col("prompt_tokens"))
-    text = F.when(F.col("prompt_tokens") % 7 == 0, "geen antwoord").when(F.col("prompt_tokens") % 5 == 0, F.concat(F.lit('{"old": {}} '), one)).otherwise(one)
-    return t.token_usage.select("article_idx", "pass_name", "prompt_tokens", text.alias("content"))
-
-
-@query("SELECT article_idx, pass_name, prompt_tokens AS n, CASE WHEN prompt_tokens % 2 = 0 THEN 'yes' ELSE 'no' END AS present FROM token_usage WHERE prompt_tokens % 7 <> 0")
+@query("SELECT doc_id, n_chars AS n, 'het } teken' AS note FROM documents WHERE n_chars IS NOT NULL")
 def parse_outermost_json(t: Tables) -> DataFrame:
-    rows = answers(t).withColumn("j", json_text.outermost_json("content")).where("j is not null")
-    return rows.select("article_idx", "pass_name", F.get_json_object("j", "$.n").cast("long").alias("n"), F.get_json_object(json_text.frames_json("j"), "$.conflict.present").alias("present"))
-
-
-@query("SELECT article_idx, pass_name, CASE WHEN prompt_tokens % 7 = 0 THEN 'batch_parse_error' WHEN completion_tokens IS NULL THEN 'no_usage' END AS reason, CASE WHEN prompt_tokens % 7 <> 0 THEN 'q1=yes' END AS indicators FROM token_usage")
-def flatten_response(t: Tables) -> DataFrame:
-    """Fields of the answer, a reason where there is none, and its indicators in their order."""
-    rows = t.token_usage.select("article_idx", "pass_name", "prompt_tokens", "completion_tokens").join(answers(t).distinct(), ["article_idx", "pass_name", "prompt_tokens"])
-    frames = json_text.frames_json(json_text.outermost_json("content"))
-    rows = rows.select("article_idx", "pass_name", "completion_tokens", frames.alias("f"))
-    marks = F.from_json(F.get_json_object("f", "$.conflict.indicators"), "map<string,string>")
-    shown = F.array_join(F.transform(F.map_entries(marks), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
-    return rows.select("article_idx", "pass_name", F.when(F.col("f").isNull(), "batch_parse_error").when(F.col("completion_tokens").isNull(), "no_usage").alias("reason"), shown.alias("indicators"))
+    """The object that ends last, after prose, a broken brace and another object, with braces inside its strings."""
+    text = F.format_string('Zo: {kapot {"n": 0} "slot" {"n": %d, "note": "het } teken", "in": {"n": -1}} einde.', F.col("n_chars"))
+    rows = t.documents.where("n_chars is not null").select("doc_id", json_text.outermost_json(text).alias("j"))
+    return rows.select("doc_id", F.get_json_object("j", "$.n").cast("long").alias("n"), F.get_json_object("j", "$.note").alias("note"))
 
 
 @query("SELECT doc_id, n_chars AS n FROM documents WHERE n_chars IS NOT NULL")

@@ -107,8 +107,11 @@ def match_key() -> F.Column:
 def overlap_flag(t: Tables) -> DataFrame:
     """Articles whose outlet, day and title stand in both corpora; a null in the key overlaps with nothing."""
     k = t.preprocess_final.select("row_idx", "corpus", match_key().alias("k"))
-    both = k.where("k is not null").groupBy("k").agg(F.count_distinct("corpus").alias("n")).where("n > 1").select("k", F.lit(True).alias("hit"))
-    return k.join(both, "k", "left").select("row_idx", F.coalesce("hit", F.lit(False)).alias("overlap"))
+    keyed = k.where("k is not null")
+    both = keyed.groupBy("k").agg(F.count_distinct("corpus").alias("n")).where("n > 1").select("k", F.lit(True).alias("hit"))
+    # rows without a key stay out of the join, where they would all meet in one task
+    hits = keyed.join(both, "k", "left").select("row_idx", F.coalesce("hit", F.lit(False)).alias("overlap"))
+    return hits.unionByName(k.where("k is null").select("row_idx", F.lit(False).alias("overlap")))
 
 
 @query(f"SELECT row_idx, r.outlet_clean FROM preprocess_final p LEFT JOIN (SELECT outlet_clean, unnest([outlet_clean, full_name]) AS name FROM outlet_reference) r ON {sql_strip('''regexp_replace(outlet, '\\s*\\((Online|Print)\\)$', '')''')} = r.name QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY r.outlet_clean) = 1")

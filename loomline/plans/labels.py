@@ -15,8 +15,8 @@ from loomline.runtime import stage
 _KEEP = ["article_idx", "outlet_clean", "year", "corpus", "corpus_type", "prompt_variant", "run_number"]
 
 _LONG = f"""
-  l AS (SELECT DISTINCT {", ".join(_KEEP)}, replace(col, '_present', '') AS frame, raw, {sql_yes_no("raw")} AS present
-        FROM (SELECT * FROM annotated WHERE skipped_reason IS NULL) UNPIVOT INCLUDE NULLS (raw FOR col IN ({", ".join(COLUMNS)})))"""
+  w AS (SELECT DISTINCT {", ".join(_KEEP)}, {", ".join(COLUMNS)} FROM annotated WHERE skipped_reason IS NULL),
+  l AS (SELECT {", ".join(_KEEP)}, replace(col, '_present', '') AS frame, raw, {sql_yes_no("raw")} AS present FROM w UNPIVOT INCLUDE NULLS (raw FOR col IN ({", ".join(COLUMNS)})))"""
 _PCT = "round_even(100.0 * n_present / n_applicable, 4)"
 _COUNTS = "CAST(count(present) AS BIGINT) AS n_applicable, CAST(count(*) FILTER (present = 'yes') AS BIGINT) AS n_present"
 
@@ -152,12 +152,32 @@ def agreement_pooled_macro(t: Tables) -> DataFrame:
     return pooled.select("prompt_variant", F.col("n").alias("n_cells"), F.col("kappa").alias("pooled_kappa")).join(macro, "prompt_variant")
 
 
-@query(f"""WITH {_PAIR}, c AS (SELECT frame, {_TALLY} FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY frame), {_STAT}
-SELECT frame, kappa, CASE WHEN kappa >= 0.6 THEN 'clears 0.6' WHEN kappa_max < 0.6 THEN 'structural (base-rate)' WHEN yy + yn <= 6 THEN 'structural (prevalence)' ELSE 'unresolved' END || CASE WHEN n <= 40 THEN ', small n' ELSE '' END AS tier FROM v""")
+# Tiers of reliability and their reasons.
+_SMALL = " (aggravated by small subsample n=%d, wide CI)"
+_CEILING = "base-rate ceiling: kappa_max=%.3f < 0.6, so 0.6 is unreachable given marginals (%.2f vs %.2f)"
+_FLOOR = "prevalence floor: only %d positive cases at n=%d; kappa unstable at any feasible benchmark size"
+_DIVERGE = "kappa_max=%.3f permits >=0.6, so the marginals are not the constraint — the two coders disagree about which articles qualify"
+
+
+def _printf(text: str, *args: str) -> str:
+    return "printf('" + text + "', " + ", ".join(args) + ")"
+
+
+@query(f"""WITH {_PAIR}, c AS (SELECT frame, outlet_clean, {_TALLY} FROM r WHERE a IS NOT NULL AND b IS NOT NULL AND outlet_clean IS NOT NULL GROUP BY ALL), {_STAT},
+  x AS (SELECT *, CASE WHEN n <= 40 THEN {_printf(_SMALL, "n")} ELSE '' END AS small FROM v)
+SELECT frame, outlet_clean, n, kappa, CASE WHEN kappa >= 0.6 THEN 'clears 0.6' WHEN kappa_max < 0.6 OR yy + yn <= 6 THEN 'below 0.6 — structural' ELSE 'below 0.6 — unresolved' END AS tier,
+  CASE WHEN kappa >= 0.6 THEN '' WHEN kappa_max < 0.6 THEN {_printf(_CEILING, "kappa_max", "round(pa, 6)", "round(pb, 6)")} || small WHEN yy + yn <= 6 THEN {_printf(_FLOOR, "yy + yn", "n")} ELSE {_printf(_DIVERGE, "coalesce(kappa_max, 'nan'::DOUBLE)")} || small END AS reason FROM x""")
 def reliability_tiers(t: Tables) -> DataFrame:
-    k = F.col("kappa")
-    tier = F.when(k >= 0.6, "clears 0.6").when(F.col("kappa_max") < 0.6, "structural (base-rate)").when(F.col("yy") + F.col("yn") <= 6, "structural (prevalence)").otherwise("unresolved")
-    return _stats(_tally(raters(t), "frame")).select("frame", "kappa", F.concat(tier, F.when(F.col("n") <= 40, ", small n").otherwise("")).alias("tier"))
+    """Tier and reason of each label and outlet; a small sample is named where it adds to a reason that it may add to."""
+    c = F.col
+    s = _stats(_tally(raters(t).where("outlet_clean is not null"), "frame", "outlet_clean"))
+    small = F.when(c("n") <= 40, F.format_string(_SMALL, "n")).otherwise("")
+    clears, ceiling, floor = c("kappa") >= 0.6, c("kappa_max") < 0.6, c("yy") + c("yn") <= 6
+    share = lambda k: F.bround(F.round((c("yy") + c(k)) / c("n"), 6), 2)  # noqa: E731  (Java would print a tie rounded up)
+    most = F.bround("kappa_max", 3)
+    tier = F.when(clears, "clears 0.6").when(F.coalesce(ceiling, F.lit(False)) | floor, "below 0.6 — structural").otherwise("below 0.6 — unresolved")
+    reason = F.when(clears, "").when(ceiling, F.concat(F.format_string(_CEILING, most, share("yn"), share("ny")), small)).when(floor, F.format_string(_FLOOR, c("yy") + c("yn"), c("n")))
+    return s.select("frame", "outlet_clean", "n", "kappa", tier.alias("tier"), reason.otherwise(F.concat(F.format_string(_DIVERGE, F.coalesce(most, F.lit(float("nan")))), small)).alias("reason"))
 
 
 @query(f"""WITH {_PAIR} SELECT frame, CASE WHEN a IS NULL AND b IS NULL THEN 'both null' WHEN a IS NULL THEN 'first null' ELSE 'second null' END AS reason, CAST(count(*) AS BIGINT) AS n FROM r WHERE a IS NULL OR b IS NULL GROUP BY ALL""")
@@ -181,15 +201,6 @@ def disagreements_per_article(t: Tables) -> DataFrame:
     return raters(t).groupBy("article_idx").agg(F.count_if(F.col("a") != F.col("b")).alias("disagreements"))
 
 
-@query(f"""WITH {_LONG}, w AS (SELECT article_idx, prompt_variant, run_number, count(*) FILTER (present = 'yes' AND frame IN ('conflict', 'economic', 'responsibility', 'deservingness')) AS k, max(present) FILTER (frame = 'human_interest') AS h FROM l GROUP BY ALL HAVING count(present) FILTER (frame IN ('conflict', 'economic', 'responsibility', 'deservingness')) > 0)
-SELECT CAST(m AS INTEGER) AS threshold, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ((k >= m) = (h = 'yes')) AS BIGINT) AS agree FROM w, range(1, 4) AS x(m) WHERE h IS NOT NULL GROUP BY m""")
-def threshold_counterfactual(t: Tables) -> DataFrame:
-    some = F.col("frame").isin("conflict", "economic", "responsibility", "deservingness")
-    w = long(t).groupBy("article_idx", "prompt_variant", "run_number").agg(F.count_if(some & (F.col("present") == "yes")).alias("k"), F.max(F.when(F.col("frame") == "human_interest", F.col("present"))).alias("h"), F.count(F.when(some, F.col("present"))).alias("known"))
-    w = w.where("known > 0 and h is not null").withColumn("threshold", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return w.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if((F.col("k") >= F.col("threshold")) == (F.col("h") == "yes")).alias("agree"))
-
-
 _CELLS = "SELECT frame, corpus, present, count(*) AS n FROM l WHERE present IS NOT NULL GROUP BY ALL"
 
 
@@ -201,8 +212,8 @@ def crosstab(t: Tables) -> DataFrame:
 def _chi_sql(key: str) -> str:
     return f"""WITH {_LONG}, o AS (SELECT frame, {key} AS g, present, count(*) AS o FROM l WHERE present IS NOT NULL AND {key} IS NOT NULL GROUP BY ALL),
   r AS (SELECT frame, g, sum(o) AS r FROM o GROUP BY ALL), k AS (SELECT frame, present, sum(o) AS c FROM o GROUP BY ALL),
-  w AS (SELECT frame, sum(r) AS n, count(*) AS nr FROM r GROUP BY ALL), x AS (SELECT frame, count(*) AS nc FROM k GROUP BY ALL),
-  e AS (SELECT r.frame, n, nr, nc, coalesce(o, 0) AS o, r * c / n AS e FROM r JOIN k USING (frame) JOIN w USING (frame) JOIN x USING (frame) LEFT JOIN o USING (frame, g, present) WHERE nr > 1 AND nc > 1)
+  m AS (SELECT frame, sum(r) AS n, count(*) AS nr FROM r GROUP BY ALL), x AS (SELECT frame, count(*) AS nc FROM k GROUP BY ALL),
+  e AS (SELECT r.frame, n, nr, nc, coalesce(o, 0) AS o, r * c / n AS e FROM r JOIN k USING (frame) JOIN m USING (frame) JOIN x USING (frame) LEFT JOIN o USING (frame, g, present) WHERE nr > 1 AND nc > 1)
 SELECT frame, CAST(n AS BIGINT) AS n, CAST((nr - 1) * (nc - 1) AS BIGINT) AS dof, round(sum((o - e) * (o - e) / e), 5) AS chi2,
   round(sum(pow(abs(o - e) - CASE WHEN nr = 2 AND nc = 2 THEN least(abs(o - e), 0.5) ELSE 0 END, 2) / e), 5) AS chi2_yates,
   round(sqrt(sum((o - e) * (o - e) / e) / (n * (least(nr, nc) - 1))), 6) AS cramers_v, round(min(e), 6) AS expected_min, min(e) >= 5 AS valid
@@ -273,8 +284,8 @@ def sparse_payload(t: Tables) -> DataFrame:
     return rows.agg(F.array_join(F.array_sort(F.collect_list("frame")), "; ").alias("frames"))
 
 
-@query(f"""WITH x AS (SELECT DISTINCT * FROM annotated), y AS (SELECT article_idx, prompt_variant, run_number, {", ".join(f"{sql_yes_no(c)} AS {c}" for c in COLUMNS[:4])} FROM x)
-SELECT article_idx, prompt_variant, run_number, CAST(count(*) AS BIGINT) AS rows_left, {" AND ".join(f"count(DISTINCT coalesce({c}, '')) = 1" for c in COLUMNS[:4])} AS same FROM y GROUP BY ALL HAVING count(*) > 1""")
+@query(f"""WITH x AS (SELECT DISTINCT * FROM annotated), y AS (SELECT article_idx, prompt_variant, run_number, {", ".join(f"{sql_yes_no(c)} AS {c}" for c in COLUMNS)} FROM x)
+SELECT article_idx, prompt_variant, run_number, CAST(count(*) AS BIGINT) AS rows_left, {" AND ".join(f"count(DISTINCT coalesce({c}, '')) = 1" for c in COLUMNS)} AS same FROM y GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_pair_compare(t: Tables) -> DataFrame:
     """Keys with several different rows, and whether all their normalised labels agree."""
     labels = F.struct(*[F.coalesce(yes_no(F.col(c)), F.lit("")).alias(c) for c in COLUMNS])
@@ -294,13 +305,3 @@ def snapshot_merge(t: Tables) -> DataFrame:
 @query(f"SELECT corpus_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT article_idx) AS BIGINT) AS articles, CAST(count(skipped_reason) AS BIGINT) AS skipped FROM annotated GROUP BY ALL")
 def corpus_type_census(t: Tables) -> DataFrame:
     return t.annotated.groupBy("corpus_type").agg(F.count("*").alias("n"), F.count_distinct("article_idx").alias("articles"), F.count("skipped_reason").alias("skipped"))
-
-
-@query(f"""WITH {_LONG} SELECT article_idx, max(present) FILTER (frame = 'othering') AS othering, max(present) FILTER (frame = 'agency') AS agency,
-  CASE WHEN max(present) FILTER (frame = 'conflict') = 'yes' AND count(*) FILTER (present = 'yes' AND frame IN ('economic', 'responsibility', 'deservingness')) > 0 THEN 'yes' ELSE 'no' END AS derived FROM l GROUP BY article_idx""")
-def derive_presence(t: Tables) -> DataFrame:
-    """A label derived from indicators: the first of them and any of the others."""
-    of = lambda f: F.max(F.when(F.col("frame") == f, F.col("present")))
-    rows = long(t).groupBy("article_idx").agg(of("othering").alias("othering"), of("agency").alias("agency"), of("conflict").alias("i1"), F.max(F.when(F.col("frame").isin("economic", "responsibility", "deservingness"), F.col("present"))).alias("rest"))
-    return rows.select("article_idx", "othering", "agency", F.when((F.col("i1") == "yes") & (F.col("rest") == "yes"), "yes").otherwise("no").alias("derived"))
-
