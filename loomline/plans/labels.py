@@ -159,6 +159,11 @@ _FLOOR = "prevalence floor: only %d positive cases at n=%d; kappa unstable at an
 _DIVERGE = "kappa_max=%.3f permits >=0.6, so the marginals are not the constraint — the two coders disagree about which articles qualify"
 
 
+def _plain(text: str) -> str:
+    """The text for numbers that are formatted already."""
+    return text.replace("%.3f", "%s").replace("%.2f", "%s")
+
+
 def _printf(text: str, *args: str) -> str:
     return "printf('" + text + "', " + ", ".join(args) + ")"
 
@@ -173,11 +178,12 @@ def reliability_tiers(t: Tables) -> DataFrame:
     s = _stats(_tally(raters(t).where("outlet_clean is not null"), "frame", "outlet_clean"))
     small = F.when(c("n") <= 40, F.format_string(_SMALL, "n")).otherwise("")
     clears, ceiling, floor = c("kappa") >= 0.6, c("kappa_max") < 0.6, c("yy") + c("yn") <= 6
-    share = lambda k: F.bround(F.round((c("yy") + c(k)) / c("n"), 6), 2)  # noqa: E731  (Java would print a tie rounded up)
-    most = F.bround("kappa_max", 3)
+    # format_number rounds the binary value half-even, format_string its decimal form half-up
+    share = lambda k: F.format_number(F.round((c("yy") + c(k)) / c("n"), 6), 2)
+    most = F.coalesce(F.format_number("kappa_max", 3), F.lit("nan"))
     tier = F.when(clears, "clears 0.6").when(F.coalesce(ceiling, F.lit(False)) | floor, "below 0.6 — structural").otherwise("below 0.6 — unresolved")
-    reason = F.when(clears, "").when(ceiling, F.concat(F.format_string(_CEILING, most, share("yn"), share("ny")), small)).when(floor, F.format_string(_FLOOR, c("yy") + c("yn"), c("n")))
-    return s.select("frame", "outlet_clean", "n", "kappa", tier.alias("tier"), reason.otherwise(F.concat(F.format_string(_DIVERGE, F.coalesce(most, F.lit(float("nan")))), small)).alias("reason"))
+    reason = F.when(clears, "").when(ceiling, F.concat(F.format_string(_plain(_CEILING), most, share("yn"), share("ny")), small)).when(floor, F.format_string(_FLOOR, c("yy") + c("yn"), c("n")))
+    return s.select("frame", "outlet_clean", "n", "kappa", tier.alias("tier"), reason.otherwise(F.concat(F.format_string(_plain(_DIVERGE), most), small)).alias("reason"))
 
 
 @query(f"""WITH {_PAIR} SELECT frame, CASE WHEN a IS NULL AND b IS NULL THEN 'both null' WHEN a IS NULL THEN 'first null' ELSE 'second null' END AS reason, CAST(count(*) AS BIGINT) AS n FROM r WHERE a IS NULL OR b IS NULL GROUP BY ALL""")
