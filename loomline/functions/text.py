@@ -47,9 +47,11 @@ def word_count(c: Column) -> Column:
 
 def count_hits(c: Column, terms: Column) -> Column:
     """Sum over an array of terms of their non-overlapping occurrences, regardless of case; 0 for null."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    each = F.transform(F.filter(terms, lambda k: F.length(k) > 0), lambda k: ((F.length(text) - F.length(F.replace(text, F.lower(k), F.lit("")))) / F.length(k)).cast("long"))
-    return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+    some = F.filter(terms, lambda k: F.length(k) > 0)
+    hits = lambda t, k: ((F.length(t) - F.length(F.replace(t, F.lower(k), F.lit("")))) / F.length(k)).cast("long")
+    # the text is bound to a variable, so that it is put in lower case once and not for each term
+    each = F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), lambda t: F.aggregate(some, F.lit(0).cast("long"), lambda n, k: n + hits(t, k)))
+    return F.get(each, F.lit(0))
 
 
 def parse_list(c: Column) -> Column:

@@ -10,12 +10,9 @@ from loomline.functions import text
 from loomline.operators.order import dense_ordinal, first_row
 from loomline.operators.sampling import proportional, stratified
 from loomline.plans.registry import Tables, query, sql_collapse, sql_strip
-from loomline.sources import files
 
 #: Topics that do not count for the second corpus (a parameter of the gate).
 OFF_TOPIC = ("Sport", "Cultuur & Media", "Zorg", "Overig")
-#: Terms of the first corpus's gate.
-TERMS = ("klimaat", "stikstof", "uitstoot", "warmte")
 FIRST, LAST = "2014-01-01 00:00:00", "2023-12-31 00:00:00"
 
 _DATE = "coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%d-%m-%Y'))"
@@ -40,16 +37,6 @@ def word_count_filter(t: Tables) -> DataFrame:
     return t.preprocess_final.select("row_idx", text.word_count(F.col("body")).alias("words")).where("words >= 100")
 
 
-_HITS = lambda c: "CAST(" + " + ".join(f"(length(lower(coalesce({c}, ''))) - length(replace(lower(coalesce({c}, '')), '{k}', ''))) // {len(k)}" for k in TERMS) + " AS BIGINT)"
-
-
-@query(f"SELECT *, title_hits || ' title hits / ' || body_hits || ' body hits' AS raw, title_hits >= 1 OR body_hits >= 2 AS on_topic FROM (SELECT row_idx, {_HITS('title')} AS title_hits, {_HITS('body')} AS body_hits FROM preprocess_final WHERE corpus = 'climate')")
-def keyword_hits(t: Tables) -> DataFrame:
-    terms = F.array(*[F.lit(k) for k in TERMS])
-    rows = t.preprocess_final.where("corpus = 'climate'").select("row_idx", text.count_hits(F.col("title"), terms).alias("title_hits"), text.count_hits(F.col("body"), terms).alias("body_hits"))
-    return rows.withColumn("raw", F.concat(F.col("title_hits"), F.lit(" title hits / "), F.col("body_hits"), F.lit(" body hits"))).withColumn("on_topic", F.expr("title_hits >= 1 or body_hits >= 2"))
-
-
 @query(f"""SELECT term, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(list_transform(regexp_extract_all(matched_keywords_all, '''([^'']*)''', 1), lambda x: {sql_strip('x')})) AS term FROM preprocess_final
 WHERE regexp_matches(matched_keywords_all, '^\\s*\\[\\s*(''[^'']*''\\s*(,\\s*''[^'']*''\\s*)*)?\\]\\s*$')) GROUP BY term""")
 def keyword_list(t: Tables) -> DataFrame:
@@ -190,18 +177,6 @@ def cell_stats(t: Tables) -> DataFrame:
     return cells(t).withColumn("off_topic_pct", pct("off_topic")).withColumn("on_topic_pct", pct("on_topic"))
 
 
-@query(f"""WITH {_CELL}, g AS (SELECT outlet_clean, year, sum(target_share) AS share FROM strata_targets GROUP BY ALL), w AS (SELECT 100.0 * sum(off_topic) / sum(total) AS whole, CAST(sum(total) AS BIGINT) AS n FROM c)
-SELECT outlet_clean, year, CAST(round_even(share * n / 10, 0) AS BIGINT) AS target_n, abs(100.0 * off_topic / total - whole) > 15.0 AS flagged, on_topic < greatest(1, round_even(round_even(share * n / 10, 0) * 0.5, 0)) AS thin,
-  CASE WHEN on_topic < greatest(1, round_even(round_even(share * n / 10, 0) * 0.5, 0)) THEN 'THIN' WHEN abs(100.0 * off_topic / total - whole) > 15.0 THEN 'FLAGGED' ELSE 'ok' END AS status FROM c JOIN g USING (outlet_clean, year), w""")
-def strata_flags(t: Tables) -> DataFrame:
-    c = cells(t)
-    whole = c.agg((100.0 * F.sum("off_topic") / F.sum("total")).alias("whole"), F.sum("total").alias("n"))
-    goal = t.strata_targets.groupBy("outlet_clean", "year").agg(F.sum("target_share").alias("share"))
-    rows = c.join(F.broadcast(goal), ["outlet_clean", "year"]).join(F.broadcast(whole)).withColumn("target_n", F.bround(F.col("share") * F.col("n") / 10).cast("long"))
-    rows = rows.withColumn("flagged", F.abs(100.0 * F.col("off_topic") / F.col("total") - F.col("whole")) > 15.0).withColumn("thin", F.col("on_topic") < F.greatest(F.lit(1), F.bround(F.col("target_n") * 0.5)))
-    return rows.select("outlet_clean", "year", "target_n", "flagged", "thin", F.when(F.col("thin"), "THIN").when(F.col("flagged"), "FLAGGED").otherwise("ok").alias("status"))
-
-
 @query(f"WITH {_U} SELECT row_idx FROM (SELECT row_idx, count(*) OVER (PARTITION BY outlet_clean, year) AS size, row_number() OVER (PARTITION BY outlet_clean, year ORDER BY md5('42#' || row_idx), row_idx) AS n FROM u) WHERE n <= greatest(1, round_even(0.1 * size, 0))")
 def stratified_sample(t: Tables) -> DataFrame:
     return stratified(units(t), ["outlet_clean", "year"], "row_idx", F.greatest(F.lit(1), F.bround(F.col("_size") * 0.1)).cast("long")).select("row_idx")
@@ -214,15 +189,6 @@ def proportional_draw(t: Tables) -> DataFrame:
     return proportional(units(t), ["outlet_clean", "year"], "row_idx", 100).select("row_idx")
 
 
-@query(f"""WITH {_U}, c AS (SELECT outlet_clean, year, count(*) FILTER (on_topic) AS have, count(*) AS pool FROM u GROUP BY ALL), g AS (SELECT outlet_clean, year, CAST(sum(min_rows) AS BIGINT) * 5 AS want FROM strata_targets GROUP BY ALL)
-SELECT outlet_clean, year, CAST(greatest(0, want - have) AS BIGINT) AS need, CAST(least(greatest(0, want - have), pool) AS BIGINT) AS drawn FROM g JOIN c USING (outlet_clean, year)""")
-def topup_need(t: Tables) -> DataFrame:
-    have = units(t).groupBy("outlet_clean", "year").agg(F.count_if(F.coalesce("on_topic", F.lit(False))).alias("have"), F.count("*").alias("pool"))
-    goal = t.strata_targets.groupBy("outlet_clean", "year").agg((F.sum("min_rows") * 5).alias("want"))
-    need = F.greatest(F.lit(0), F.col("want") - F.col("have")).cast("long")
-    return have.join(F.broadcast(goal), ["outlet_clean", "year"]).select("outlet_clean", "year", need.alias("need"), F.least(need, F.col("pool")).alias("drawn"))
-
-
 @query(f"WITH {_U}, a AS (SELECT count(*) FILTER (corpus = 'climate') AS c, count(*) AS n FROM u) SELECT CAST(round_even(100.0 * c / n, 0) AS BIGINT) AS climate, CAST(100 - round_even(100.0 * c / n, 0) AS BIGINT) AS migration FROM a")
 def corpus_allocation(t: Tables) -> DataFrame:
     a = units(t).agg(F.bround(100.0 * F.count_if(F.col("corpus") == "climate") / F.count("*")).cast("long").alias("climate"))
@@ -279,16 +245,6 @@ def positional_join(t: Tables) -> DataFrame:
     return o.where("corpus = 'climate'").select(F.col("row_idx").alias("left_idx"), "n").join(o.where("corpus = 'migration'").select(F.col("row_idx").alias("right_idx"), "n"), "n")
 
 
-@query(f"""WITH k AS (SELECT row_idx, {_KEY} AS k, md5({sql_strip('body')}) AS m, {_WORDS} AS w FROM preprocess_final WHERE title IS NOT NULL), g AS (SELECT k, count(*) AS n, count(DISTINCT m) AS bodies, count(DISTINCT w) AS words, min(row_idx) AS first FROM k WHERE k IS NOT NULL GROUP BY k)
-SELECT k.row_idx, CASE WHEN n = 1 THEN 'single' WHEN bodies = 1 THEN 'same body' WHEN words = 1 THEN 'same length' ELSE 'ambiguous' END AS how, CASE WHEN n = 1 OR bodies = 1 OR words = 1 THEN first END AS resolved FROM k JOIN g USING (k)""")
-def ambiguous_key_resolution(t: Tables) -> DataFrame:
-    """A match key with several rows: one candidate, else equal bodies, else equal lengths, else null."""
-    k = t.preprocess_final.where("title is not null").select("row_idx", match_key().alias("k"), F.md5(text.strip(F.col("body"))).alias("m"), text.word_count(F.col("body")).alias("w")).where("k is not null")
-    g = k.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("m").alias("bodies"), F.count_distinct("w").alias("words"), F.min("row_idx").alias("first"))
-    how = F.when(F.col("n") == 1, "single").when(F.col("bodies") == 1, "same body").when(F.col("words") == 1, "same length").otherwise("ambiguous")
-    return k.join(g, "k").select("row_idx", how.alias("how"), F.when(how != "ambiguous", F.col("first")).alias("resolved"))
-
-
 @query("SELECT outlet_clean, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM preprocess_final WHERE outlet_clean IS NOT NULL GROUP BY outlet_clean")
 def share_of_total(t: Tables) -> DataFrame:
     c = t.preprocess_final.where("outlet_clean is not null").groupBy("outlet_clean").agg(F.count("*").alias("n"))
@@ -301,40 +257,3 @@ def year_runs(t: Tables) -> DataFrame:
     y = t.check_strata.where("outlet_clean is not null and year is not null and not on_topic_flag").select("outlet_clean", "year").distinct()
     g = y.withColumn("g", F.col("year") - F.row_number().over(W.partitionBy("outlet_clean").orderBy("year")))
     return g.groupBy("outlet_clean", "g").agg(F.min("year").alias("first"), F.max("year").alias("last"), F.count("*").alias("years")).drop("g")
-
-
-# ---- sources and sinks ----
-
-
-@query("SELECT row_idx, corpus, outlet, title, body FROM preprocess_final")
-def csv_roundtrip(t: Tables) -> DataFrame:
-    """Written as quoted CSV with line feeds in fields and read back with a schema."""
-    cols = ["row_idx", "corpus", "outlet", "title", "body"]
-    path = t.scratch("csv")
-    files.write_csv(t.preprocess_final.select(*cols), path)
-    return files.read_csv(t.spark, path, "row_idx long, corpus string, outlet string, title string, body string")
-
-
-@query("SELECT row_idx, title, outlet FROM preprocess_final")
-def jsonl_roundtrip(t: Tables) -> DataFrame:
-    path = t.scratch("jsonl")
-    files.write_lines(t.preprocess_final.select("row_idx", "title", "outlet"), path)
-    return files.read_lines(t.spark, path, "row_idx long, title string, outlet string")
-
-
-@query("SELECT row_idx FROM preprocess_final WHERE false")
-def audit_write_verified(t: Tables) -> DataFrame:
-    path = t.scratch("verify")
-    t.preprocess_final.select("row_idx").write.parquet(path)
-    return files.verify_written(t.preprocess_final, t.spark.read.parquet(path), ["row_idx"])
-
-
-@query("SELECT row_idx, corpus FROM preprocess_final")
-def append_batches(t: Tables) -> DataFrame:
-    """Two appends to one table, as rows finish."""
-    path, rows = t.scratch("append"), t.preprocess_final.select("row_idx", "corpus")
-    for corpus in ("climate", "migration"):
-        rows.where(F.col("corpus") == corpus).write.mode("append").parquet(path)
-    return t.spark.read.schema(rows.schema).parquet(path)
-
-
