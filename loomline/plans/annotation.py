@@ -97,14 +97,6 @@ def progress_matrix(t: Tables) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("written") == 0, "not started").when(F.col("written") >= F.col("expected"), "done").otherwise(share))
 
 
-@query("""SELECT o_custkey % 50 AS owner, CAST(count(*) AS BIGINT) AS chunks, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS failed, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS open, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS partial FROM orders GROUP BY ALL""")
-def ledger_rollup(t: Tables) -> DataFrame:
-    """A status histogram per owner of a job ledger."""
-    rows = t.orders.withColumn("owner", F.col("o_custkey") % 50).groupBy("owner")
-    is_ = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return rows.agg(F.count("*").alias("chunks"), is_("F").alias("failed"), is_("O").alias("open"), is_("P").alias("partial"))
-
-
 # ---- answers ----
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import annotation, answers, corpus, labels, registry, scans, selection  # noqa: F401  (they register their queries)
+from loomline.plans import annotation, answers, corpus, labels, registry, review, scans, selection  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -245,7 +245,29 @@ def chi2_by_outlet(t: Tables) -> DataFrame:
     return _chi_out(_chi(t, "outlet_clean"))
 
 
-@query()
+def _tail_sql(x: str, dof: str) -> str:
+    """Upper tail of chi-square by the series of the incomplete gamma function."""
+    term = f"exp(({dof} / 2.0 + i) * ln({x} / 2.0) - {x} / 2.0 - lgamma({dof} / 2.0 + i + 1))"
+    last = f"CAST({x} / 2.0 + 40 * sqrt({x} / 2.0) + 200 AS BIGINT)"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, {last}), lambda i: {term}))) END"
+
+
+_SUITE = f"""WITH {_LONG}, y AS (SELECT * FROM l WHERE present IS NOT NULL), m AS (SELECT DISTINCT row_idx, {sql_collapse("meta")} AS meta FROM preprocess_final WHERE meta IS NOT NULL),
+  tp AS (SELECT corpus, meta, frame, present, count(*) AS n FROM y JOIN m ON row_idx = article_idx WHERE corpus IS NOT NULL AND meta <> 'NOISE' GROUP BY ALL),
+  tw AS (SELECT corpus, frame, present, sum(n) AS n FROM tp GROUP BY ALL), tc AS (SELECT DISTINCT corpus, meta, frame FROM tp),
+  side AS (SELECT corpus, meta, frame, tw.present, coalesce(tp.n, 0) AS n, tw.n AS whole FROM tc JOIN tw USING (corpus, frame) LEFT JOIN tp USING (corpus, meta, frame, present)),
+  cell AS ({" UNION ALL ".join([f"SELECT '{k}' AS k, '' AS scope, '' AS category, frame, CAST({k} AS VARCHAR) AS g, present, count(*) AS o FROM y GROUP BY ALL" for k in ("corpus", "corpus_type", "outlet_clean", "year")] + [f"SELECT '{k}', corpus, '', frame, CAST({k} AS VARCHAR), present, count(*) FROM y WHERE corpus IS NOT NULL GROUP BY ALL" for k in ("outlet_clean", "year")])}
+    UNION ALL SELECT 'meta', corpus, meta, frame, 'focal', present, n FROM side UNION ALL SELECT 'meta', corpus, meta, frame, 'rest', present, whole - n FROM side),
+  o AS (SELECT k, scope, category, frame, g, present, sum(o) AS o FROM cell WHERE g IS NOT NULL AND o > 0 GROUP BY ALL),
+  r AS (SELECT k, scope, category, frame, g, sum(o) AS r FROM o GROUP BY ALL), c AS (SELECT k, scope, category, frame, present, sum(o) AS c FROM o GROUP BY ALL),
+  rn AS (SELECT k, scope, category, frame, sum(r) AS n, count(*) AS nr FROM r GROUP BY ALL), cn AS (SELECT k, scope, category, frame, count(*) AS nc FROM c GROUP BY ALL),
+  e AS (SELECT k, scope, category, frame, n, nr, nc, coalesce(o, 0) AS o, r * c / n AS e FROM r JOIN c USING (k, scope, category, frame) JOIN rn USING (k, scope, category, frame) JOIN cn USING (k, scope, category, frame) LEFT JOIN o USING (k, scope, category, frame, g, present) WHERE nr > 1 AND nc > 1),
+  x AS (SELECT k, scope, category, frame, n, nr, nc, (nr - 1) * (nc - 1) AS dof, sum((o - e) * (o - e) / e) AS chi2, sum(pow(abs(o - e) - CASE WHEN nr = 2 AND nc = 2 THEN least(abs(o - e), 0.5) ELSE 0 END, 2) / e) AS chi2_yates, min(e) AS em FROM e GROUP BY ALL)
+SELECT k AS grouping_column, nullif(scope, '') AS scope, nullif(category, '') AS category, frame, CAST(n AS BIGINT) AS n, CAST(nr AS BIGINT) AS n_rows, CAST(nc AS BIGINT) AS n_cols, round(chi2, 9) AS chi2, round(chi2_yates, 9) AS chi2_yates, round(em, 9) AS expected_min, CAST(dof AS BIGINT) AS dof,
+  round(sqrt(chi2 / (n * (least(nr, nc) - 1))), 9) AS cramers_v, round({_tail_sql("chi2", "dof")}, 9) AS p, round({_tail_sql("chi2_yates", "dof")}, 9) AS p_yates FROM x"""
+
+
+@query(_SUITE)
 def significance_suite(t: Tables) -> DataFrame:
     """Chi-square with both corrections and its p-values, for five groupings of every label.
 
@@ -269,13 +291,21 @@ def significance_suite(t: Tables) -> DataFrame:
 
     out = stats.chi_square(stage(counts.unionByName(cells), "suite-cells"), ["grouping_column", "scope", "category", "frame"], "g", "present")
     out = out.withColumn("scope", F.get("scope", F.lit(0))).withColumn("category", F.get("category", F.lit(0)))
-    return out.withColumn("p", stats.chi2_p("chi2", "dof")).withColumn("p_yates", stats.chi2_p("chi2_yates", "dof"))
+    out = out.withColumn("p", stats.chi2_p("chi2", "dof")).withColumn("p_yates", stats.chi2_p("chi2_yates", "dof"))
+    return out.select(*[F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
 
 
-@query()
+_LOG_CHOOSE = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+_LOG_P = lambda k: f"{_LOG_CHOOSE('(a + b)', k)} + {_LOG_CHOOSE('(c + d)', f'(a + c - {k})')} - {_LOG_CHOOSE('(a + b + c + d)', '(a + c)')}"
+
+
+@query(f"""WITH {_LONG}, t AS (SELECT frame, count(*) FILTER (corpus = 'climate' AND present = 'yes') AS a, count(*) FILTER (corpus = 'climate' AND present = 'no') AS b, count(*) FILTER (corpus = 'migration' AND present = 'yes') AS c, count(*) FILTER (corpus = 'migration' AND present = 'no') AS d FROM l WHERE present IS NOT NULL GROUP BY frame),
+  p AS (SELECT *, exp({_LOG_P("a")}) AS own, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: exp({_LOG_P("k")})) AS ps FROM t)
+SELECT frame, a, b, c, d, round(least(1.0, list_sum(list_filter(ps, lambda x: x <= own * (1 + 1e-7)))), 9) AS p_fisher FROM p""")
 def fisher_by_corpus(t: Tables) -> DataFrame:
+    """Exact test of each label between two corpora."""
     rows = long(t).where("present is not null").groupBy("frame").agg(*[F.count_if((F.col("corpus") == c) & (F.col("present") == p)).alias(n) for n, c, p in (("a", "climate", "yes"), ("b", "climate", "no"), ("c", "migration", "yes"), ("d", "migration", "no"))])
-    return rows.withColumn("p_fisher", stats.fisher_p("a", "b", "c", "d"))
+    return rows.withColumn("p_fisher", F.round(stats.fisher_p("a", "b", "c", "d"), 9))
 
 
 @query()

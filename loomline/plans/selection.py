@@ -116,12 +116,6 @@ def topup_need(t: Tables) -> DataFrame:
     return _need(t).join(drawn, ["outlet_clean", "year"], "left").fillna(0, ["drawn"]).withColumn("status", F.when(F.col("drawn") == 0, "pool exhausted").otherwise("ok"))
 
 
-@query(f"WITH {_TOPUP} SELECT row_idx FROM drawn WHERE row_idx IN (SELECT row_idx FROM s)")
-def audit_disjoint_draws(t: Tables) -> DataFrame:
-    """Rows of a new draw that an earlier one holds already."""
-    return topup_draw(t).select("row_idx").join(_sampled(t).select("row_idx"), "row_idx", "left_semi").distinct()
-
-
 # ---- joins ----
 
 _RAW = f"""raw AS (SELECT row_idx, {_KEY} AS k, md5({sql_strip('body')}) AS m, {_WORDS} AS w FROM preprocess_final WHERE corpus = 'migration'),

@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a staged table of narrow rows (a few longs) may be broadcast.
+#: Rows up to which a staged table of narrow rows (a few longs) may be broadcast, and bytes of its files.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 _cleanup: set[str] = set()
 _shipped: set[str] = set()
@@ -78,16 +79,29 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if free:
         spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table whose last reader has been written."""
+    if path := getattr(df, "_staged_at", None):
+        remove(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
-    """Broadcast hint for a staged table of at most ``rows`` rows, else the table as it is.
+    """Broadcast hint for a staged table of at most ``rows`` rows and BROADCAST_BYTES, else the table as it is.
 
     Beyond the bound Spark joins by shuffle; the rows are the same either way.
     """
     n = df.count() if known is None else known
-    return F.broadcast(df) if n <= rows else df
+    return F.broadcast(df) if n <= rows and plan_bytes(df) <= BROADCAST_BYTES else df
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of a table: for a staged one, of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def expand_pairs(members: DataFrame, key: str, item: str, fragment: int = 256) -> DataFrame:

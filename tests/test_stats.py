@@ -40,6 +40,26 @@ def test_chi_square(spark):
     assert got["t"]["chi2"] == pytest.approx(18.726190, abs=1e-5) and got["t"]["chi2_yates"] < got["t"]["chi2"]
 
 
+def test_bootstrap(spark):
+    """The interval against resampling the items one by one; too few items, and raters without variety, have none."""
+    import numpy as np
+
+    cells = {"a": (40, 10, 5, 45), "b": (3, 1, 1, 1), "few": (1, 0, 0, 1), "flat": (9, 0, 0, 0)}
+    df = spark.createDataFrame([(k, *v) for k, v in cells.items()], "g string, yy long, yn long, ny long, nn long")
+    got = {r["g"]: (r["n"], r["kappa_low"], r["kappa_high"]) for r in stats.bootstrap_kappa(df, "g").collect()}
+    assert got["few"] == (2, None, None) and got["flat"] == (9, None, None)
+    rng = np.random.default_rng(3)
+    for k in ("a", "b"):
+        pairs = np.repeat([[1, 1], [1, 0], [0, 1], [0, 0]], cells[k], axis=0)
+        kappas = []
+        for _ in range(4000):
+            x, y = pairs[rng.integers(0, len(pairs), len(pairs))].T
+            pe = x.mean() * y.mean() + (1 - x.mean()) * (1 - y.mean())
+            if not np.isclose(pe, 1):
+                kappas.append(((x == y).mean() - pe) / (1 - pe))
+        assert got[k][1:] == pytest.approx(np.percentile(kappas, [2.5, 97.5]), abs=0.04)
+
+
 def test_json_search():
     assert json_text.outermost('x {"a": {"b": 1}} y {"c": 2} z') == '{"c": 2}'
     assert json_text.outermost("none {") is None and json_text.outermost(None) is None
