@@ -1,11 +1,14 @@
 """A sample that matches target proportions of categories, by the cube method.
 
-Flight phases on the indicators of the category cells run per partition: within a cell
-two records trade their inclusion probabilities until one of them is decided, which keeps
-every cell's expected count exactly. Undecided records (one a cell and partition at most)
+Flight phases on the indicators of the category cells run per bucket of records: within a
+cell two records trade their inclusion probabilities until one of them is decided, which
+keeps every cell's expected count exactly. Undecided records (one a cell and bucket at most)
 merge upward by cell; the last ones, one a cell, fly once more under the marginal totals
 of each category field, and the landing phase drops those constraints one by one.
 
+The buckets are those of a hash of the record, as many as the number of records asks for, so
+the same records are drawn on any cluster.
+
 Defined results: a record with a null in a category field is in no cell. A record that
 comes several times counts once a cell; for the draw it is in the cell of its latest
 row (ties: the larger cell). Targets without records get no rows and a report line;
@@ -15,6 +18,7 @@ zero pools. Only the named columns are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from loomline.runtime import stage
 
 #: Targets are a small table; the operator refuses more cells than this.
-MAX_CELLS = 100_000
+MAX_CELLS = 1_000_000
+#: Records that fly in one bucket.
+BUCKET_ROWS = 500_000
 
 
 @dataclass
@@ -63,19 +69,27 @@ def _draws(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def flight(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
-    """Cube flight on cell indicators over a stream of (key, cell, p), in bounded memory.
+    """Cube flight on cell indicators over a stream of (bucket, key, cell, p) ordered by bucket, in bounded memory.
 
     With indicators of exclusive cells as constraints, the kernel has a basis of vectors
     on two records of one cell; each step moves along such a vector to the border of the
-    unit cube. Decided records are passed on with p 0 or 1, at the end one a cell is left.
+    unit cube. Decided records are passed on with p 0 or 1, at the end of a bucket one a cell is left.
     """
     open_: dict[int, tuple[int, float]] = {}
+    here = None
+
+    def table(rows: list[tuple[int, int, float]]) -> pd.DataFrame:
+        k, c, p = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"key": np.array(k, dtype=np.int64), "cell": np.array(c, dtype=np.int64), "p": np.array(p, dtype=np.float64)})
+
     for frame in frames:
-        keys, cells, ps = (frame[c].to_numpy() for c in ("key", "cell", "p"))
-        out_k, out_c, out_p = [], [], []
-        for k, c, p, u in zip(keys.tolist(), cells.tolist(), ps.tolist(), _draws(keys, seed).tolist()):
+        out: list[tuple[int, int, float]] = []
+        for b, k, c, p, u in zip(*(frame[n].tolist() for n in ("bucket", "key", "cell", "p")), _draws(frame["key"].to_numpy(), seed).tolist()):
+            if b != here:
+                out += [(k_, c_, p_) for c_, (k_, p_) in open_.items()]
+                open_, here = {}, b
             if p <= 0.0 or p >= 1.0:
-                out_k.append(k), out_c.append(c), out_p.append(p)
+                out.append((k, c, p))
                 continue
             if (held := open_.get(c)) is None:
                 open_[c] = (k, p)
@@ -87,42 +101,60 @@ def flight(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
             else:  # one is taken, the other keeps the rest
                 left, done = total - 1.0, 1.0
                 stays, goes = (other, k) if u * (2.0 - total) < 1.0 - q else (k, other)
-            out_k.append(goes), out_c.append(c), out_p.append(done)
+            out.append((goes, c, done))
             if left < 1e-9 or left > 1 - 1e-9:
-                out_k.append(stays), out_c.append(c), out_p.append(float(round(left)))
+                out.append((stays, c, float(round(left))))
                 del open_[c]
             else:
                 open_[c] = (stays, left)
-        yield pd.DataFrame({"key": np.array(out_k, dtype=np.int64), "cell": np.array(out_c, dtype=np.int64), "p": np.array(out_p, dtype=np.float64)})
-    rest = [(k, c, p) for c, (k, p) in open_.items()]
-    yield pd.DataFrame({"key": np.array([r[0] for r in rest], dtype=np.int64), "cell": np.array([r[1] for r in rest], dtype=np.int64), "p": np.array([r[2] for r in rest], dtype=np.float64)})
+        yield table(out)
+    yield table([(k, c, p) for c, (k, p) in open_.items()])
 
 
-def cube(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Cube method for a few records: ``x`` (records x constraints), the first columns the most important.
+def cube(p: np.ndarray, marks: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Cube method for records of which each is in a few exclusive categories.
 
-    Flight with all constraints over windows of one record more than constraints, then the
-    landing: the last constraint is dropped and the flight goes on, down to none.
+    ``marks`` (records x fields) are numbers of categories, those of the most important field
+    the smallest; the totals of all categories are the constraints. A step needs only as many
+    records, taken in the order of their categories, as they have categories among them and one
+    more, so it is small however many categories there are. When no such records are left, the
+    landing drops first the categories with a single open record, which nothing can balance, and
+    then the least important one, and goes on.
     """
     p, eps = p.astype(float).copy(), 1e-9
-    for used in range(x.shape[1], -1, -1):
-        a = x[:, :used]
-        while len(free := np.flatnonzero((p > eps) & (p < 1 - eps))):
-            some = free[: used + 1]
-            m = a[some].T
-            if used:
-                _, s, vt = np.linalg.svd(m, full_matrices=True)
-                rank = int((s > 1e-10).sum())
-                if rank == len(some):
-                    break
-                u = vt[-1]
-            else:
-                u = np.ones(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                up = np.where(u > 1e-12, (1 - p[some]) / u, np.where(u < -1e-12, -p[some] / u, np.inf)).min()
-                down = np.where(u > 1e-12, p[some] / u, np.where(u < -1e-12, (p[some] - 1) / u, np.inf)).min()
-            p[some] = p[some] + up * u if rng.random() < down / (up + down) else p[some] - down * u
-            p[some] = np.where(p[some] < eps, 0, np.where(p[some] > 1 - eps, 1, p[some]))
+    free = [i for i in np.lexsort(marks.T).tolist() if eps < p[i] < 1 - eps]
+    own = [set(row) for row in marks.tolist()]
+    gone: set[int] = set()
+    start = 0
+    while free:
+        window, active = [], set()
+        for at in range(start, len(free)):
+            window.append(free[at])
+            active |= own[free[at]] - gone
+            if len(window) > len(active):
+                break
+        else:
+            if start:
+                start = 0
+                continue
+            counts = Counter(c for i in free for c in own[i] - gone)
+            single = {c for c, n in counts.items() if n == 1}
+            gone |= single or {max(counts)}
+            continue
+        columns = sorted(active)
+        m = np.array([[c in own[i] for i in window] for c in columns], dtype=float).reshape(len(columns), len(window))
+        u = np.linalg.qr(m.T, mode="complete")[0][:, -1] if columns else np.ones(1)  # orthogonal to every row of m
+        some = np.array(window)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 1e-9, (1 - p[some]) / u, np.where(u < -1e-9, -p[some] / u, np.inf)).min()
+            down = np.where(u > 1e-9, p[some] / u, np.where(u < -1e-9, (p[some] - 1) / u, np.inf)).min()
+        p[some] = p[some] + up * u if rng.random() < down / (up + down) else p[some] - down * u
+        p[some] = np.where(p[some] < eps, 0, np.where(p[some] > 1 - eps, 1, p[some]))
+        kept = [i for i in window if 0 < p[i] < 1]
+        free[start : start + len(window)] = kept
+        start = max(0, start - 1) if kept else start
+        if start >= len(free):
+            start = 0
     return np.round(p)
 
 
@@ -152,26 +184,33 @@ def balanced_sample(df: DataFrame, targets: DataFrame, id_col: str, cell_cols: l
     table["p"] = np.where(table["drawable"] > 0, table["expected"] / table["drawable"].clip(lower=1), 0.0)
     types = {f.name: f.dataType.simpleString() for f in plan.schema}
     fields = [*names, "cell", "share", "least", "pool", "expected", "p"]
-    schema = ", ".join(f"{n} {types.get(n, 'long' if n == 'cell' else 'double')}" for n in fields)
-    cells = spark.createDataFrame(table[fields].astype(object).where(table[fields].notna(), None).values.tolist(), schema)
+    kinds = ", ".join(f"{n} {types.get(n, 'long' if n == 'cell' else 'double')}" for n in fields)
+    cells = spark.createDataFrame(table[fields].astype(object).where(table[fields].notna(), None).values.tolist(), kinds)
 
     run = lambda it: flight(it, seed)
-    first = draw.join(F.broadcast(cells.where("p > 0").select(*names, "cell", "p")), names).select("key", "cell", "p")
-    first = stage(first.sortWithinPartitions(F.xxhash64("key", F.lit(seed)), "key").mapInPandas(run, "key long, cell long, p double"), "sample-flight")
+    schema = "key long, cell long, p double"
+    order = ["bucket", F.xxhash64("key", F.lit(seed)), "key"]
+    buckets = max(1, -(-int(table["drawable"].sum()) // BUCKET_ROWS))
+    first = draw.join(F.broadcast(cells.where("p > 0").select(*names, "cell", "p")), names).select(F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), "key", "cell", "p")
+    tasks = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = stage(first.repartition(tasks, "bucket").sortWithinPartitions(*order).mapInPandas(run, schema), "sample-flight")
     decided, merge = first.where("p >= 1"), first.where("p > 0 and p < 1")
-    # at most one record a cell and partition merges upward; all of a cell meet in one task
-    second = stage(merge.repartition("cell").sortWithinPartitions(F.xxhash64("key", F.lit(seed)), "key").mapInPandas(run, "key long, cell long, p double"), "sample-merge")
-
-    sizes = table["drawable"].to_numpy()
-    marks = [pd.factorize(table[n])[0] for n in names]
+    # at most one record a cell and bucket merges upward; all of a cell meet in one task
+    merge = merge.withColumn("bucket", F.lit(0)).select("bucket", "key", "cell", "p")
+    second = stage(merge.repartition("cell").sortWithinPartitions(*order).mapInPandas(run, schema), "sample-merge")
+
+    # categories are numbered field by field, the field with the fewest first, after the one of all records
+    codes = sorted((pd.factorize(table[n])[0] for n in names), key=lambda c: c.max(initial=-1))
+    marks, base = [np.zeros(len(table), dtype=np.int64)], 1
+    for c in codes:
+        marks.append(c + base)
+        base += int(c.max(initial=-1)) + 1
+    marks = np.column_stack(marks)
 
     def land(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = pd.concat([*frames, pd.DataFrame({"key": [], "cell": [], "p": []})]).astype({"key": "int64", "cell": "int64", "p": "float64"}).sort_values("cell")
         if len(rest):
-            at, p = rest["cell"].to_numpy(), rest["p"].to_numpy()
-            cols = [np.ones(len(rest))] + [(m[at] == v).astype(float) for m in marks for v in np.unique(m[at])]
-            x = np.column_stack(cols) * np.where(sizes[at] > 0, 1.0, 0.0)[:, None]
-            rest["p"] = cube(p, x, np.random.default_rng(seed))
+            rest["p"] = cube(rest["p"].to_numpy(), marks[rest["cell"].to_numpy()], np.random.default_rng(seed))
         yield rest[["key", "cell", "p"]]
 
     last = second.where("p > 0 and p < 1").coalesce(1).mapInPandas(land, "key long, cell long, p double")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import balanced_sample, canonical_values, mixing, packing, tokens, wrong_encoding
 from loomline.llm.queries import SPELLING
@@ -24,12 +25,53 @@ def test_balanced_sample(spark):
 def test_cube_keeps_totals():
     rng = np.random.default_rng(0)
     p = np.full(40, 0.3)
-    x = np.column_stack([np.ones(40), np.arange(40) % 2])
+    marks = np.column_stack([np.zeros(40, dtype=int), 1 + np.arange(40) % 2])
     for _ in range(20):
-        s = balanced_sample.cube(p, x, rng)
+        s = balanced_sample.cube(p, marks, rng)
         assert set(s) <= {0.0, 1.0} and s.sum() == 12 and s[1::2].sum() == 6
 
 
+def test_cube_balances_marginals():
+    """Fields with many and few categories: totals that are whole are kept, the others to the next whole number or so."""
+    rng = np.random.default_rng(1)
+    outlet, year, flag = np.array([(o, y, f) for o in range(120) for y in range(10) for f in range(2)]).T
+    p = rng.uniform(0.05, 0.95, len(outlet))
+    p *= 1200 / p.sum()
+    p = np.clip(p, 0, 1)
+    marks = np.column_stack([np.zeros(len(p), dtype=int), 1 + flag, 3 + year, 13 + outlet])
+    s = balanced_sample.cube(p, marks, rng)
+    assert set(s) <= {0.0, 1.0} and abs(s.sum() - p.sum()) < 1
+    for field, most in ((flag, 1), (year, 2), (outlet, 2)):
+        assert np.abs(np.bincount(field, weights=s) - np.bincount(field, weights=p)).max() <= most
+    assert balanced_sample.cube(np.array([]), np.empty((0, 2), dtype=int), rng).tolist() == []
+
+
+def test_cube_keeps_probabilities():
+    """Each record is drawn as often as its probability says."""
+    p = np.array([0.2, 0.7, 0.5, 0.9, 0.4, 0.3])
+    marks = np.column_stack([np.zeros(6, dtype=int), 1 + np.array([0, 0, 1, 1, 2, 2])])
+    mean = np.mean([balanced_sample.cube(p, marks, np.random.default_rng(i)) for i in range(3000)], axis=0)
+    assert np.abs(mean - p).max() < 0.04
+
+
+def test_balanced_sample_on_any_cluster(spark, monkeypatch):
+    """The same records are drawn however the rows are spread, with one bucket and with several; every cell is within one, marginals and size are kept."""
+    rng = np.random.default_rng(2)
+    rows = [(i, f"s{rng.integers(12)}", int(rng.integers(2014, 2024)), bool(rng.random() < 0.6)) for i in range(8_000)] + [(9_000 + i, "hot", 2020, True) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "id long, s string, y int, t boolean")
+    cells = df.groupBy("s", "y", "t").count().withColumn("share", F.col("count") / 12_000).withColumn("least", F.lit(1))
+    for bucket_rows in (10**6, 1_000):
+        monkeypatch.setattr(balanced_sample, "BUCKET_ROWS", bucket_rows)
+        got = [balanced_sample.balanced_sample(df.repartition(n), cells, "id", ["s", "y", "t"], "share", "least") for n in (2, 7)]
+        a, b = ({r["id"] for r in g.sample.collect()} for g in got)
+        assert a == b and len(a) == got[0].sample_size == 1_200
+        report = got[0].report.toPandas()
+        assert (report["selected_rows"] - report["expected_rows"]).abs().max() < 1
+        for field in ("s", "y", "t"):
+            sums = report.groupby(field)[["selected_rows", "expected_rows"]].sum()
+            assert (sums["selected_rows"] - sums["expected_rows"]).abs().max() <= 2
+
+
 REFERENCE = [("Merelander", "De Merelander", "MRL", "Merelkerke"), ("Tarnse Courant", "Tarnse Courant", "TRC", "Tarn"), ("Zeeëndijker", "De Zeeëndijker", "ZED", "Zee")]
 
 
