@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.runtime import stage
+from loomline.runtime import stage, unstage
 
 #: Targets are a small table; the operator refuses more cells than this.
 MAX_CELLS = 1_000_000
@@ -215,6 +215,8 @@ def balanced_sample(df: DataFrame, targets: DataFrame, id_col: str, cell_cols: l
 
     last = second.where("p > 0 and p < 1").coalesce(1).mapInPandas(land, "key long, cell long, p double")
     taken = stage(decided.unionByName(second.where("p >= 1")).unionByName(last.where("p >= 1")).select("key", "cell"), "sample-taken")
+    for done in (units, first, second):
+        unstage(done)
     named = F.broadcast(cells)
     sample = taken.join(named, "cell").select(F.col("key").alias(id_col), *[F.col(n).alias(c) for n, c in zip(names, cell_cols)])
     report = cells.join(taken.groupBy("cell").agg(F.count("*").alias("selected")), "cell", "left").fillna(0, ["selected"])

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.runtime import file_system, remove, stage, work_dir
+from loomline.runtime import file_system, remove, stage, unstage, work_dir
 
 _NAME = r"\p{L}[\p{L}\p{N}_-]*\s*:"
 #: A first line, ended by a line feed, that opens with a field and has another one.
@@ -115,6 +115,7 @@ class CopyLedger:
             touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect())  # at most ``buckets`` numbers
             old = self.table(touched)
         if not count:
+            unstage(fresh)
             return []
         both = fresh.join(old, ["k1", "k2"], "full_outer")
         earlier = F.least(
@@ -135,6 +136,7 @@ class CopyLedger:
         rows = self.rows - before + self.spark.read.schema(_ROW).parquet(path).count()
         self.version, self.buckets, self.rows, self.at = version, buckets, rows, kept | dict.fromkeys(written, version)
         self._note()
+        unstage(fresh)
         for b, v in stale:  # named by no manifest but older ones
             remove(self.spark, f"{self.folder}/v{v:08d}/bucket={b}")
         return written

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.runtime import stage
+from loomline.runtime import stage, unstage
 
 MAX_SOURCES = 100_000
 
@@ -167,6 +167,7 @@ def mix(items: DataFrame, id_col: str, source_col: str, tokens_col: str, targets
     placed = mine.select("id", "source", "tokens", "shard", F.xxhash64("id", F.lit(seed + 1)).alias("draw")).join(quotas, ["source", "shard"])
     chosen = placed.groupBy("source", "shard").applyInPandas(choose, kinds)
     chosen = stage(chosen, "mix-chosen")
+    unstage(rows)
 
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     wide = [(r.source, float(r.share), int(r.repeats), int(r.tokens), int(r.blocks), int(r.dealt)) for r in table.itertuples()]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.runtime import broadcast_if_small, expand_pairs, stage
+from loomline.runtime import broadcast_if_small, expand_pairs, stage, unstage
 
 #: Members of a block that one task pairs at once; larger blocks are cut into fragments.
 BLOCK_MEMBERS = 64
@@ -328,7 +328,10 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     full = full.withColumn("c", F.size(F.array_intersect("sa", "sb")))
     links = full.where(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num)
     links = links.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).distinct()
-    return NearDuplicates(members.select("id", "set_id", "k1", "k2"), stage(links, "near-links", free=True))
+    links = stage(links, "near-links", free=True)
+    for done in (checked, wanted, sets):
+        unstage(done)
+    return NearDuplicates(members.select("id", "set_id", "k1", "k2"), links)
 
 
 def linked_pairs(found: NearDuplicates) -> DataFrame:
@@ -364,16 +367,17 @@ def groups(found: NearDuplicates) -> DataFrame:
     """
     both = stage(found.links.select("a", "b").unionByName(found.links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-both")
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
-    label = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")), "near-labels")
+    label = last = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")), "near-labels")
     while True:
         least = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy("a").agg(F.min("d").alias("d"))
         new = label.join(least, "a").select("a", F.least("c", "d").alias("c"), F.col("c").alias("was"))
         # the label of the label halves the distance to the least node
         new = new.join(label.select(F.col("a").alias("c"), F.col("c").alias("up")), "c", "left").select("a", F.least("c", F.coalesce("up", "c")).alias("c"), "was")
         new = stage(new, "near-labels")
+        unstage(last)
+        last, label = new, new.select("a", "c")
         if new.where("c != was").isEmpty():
             break
-        label = new.select("a", "c")
     sets = label.join(degree, "a").select(F.col("a").alias("set_id"), F.col("c").alias("group_id"), "links")
     copies = found.members.groupBy("set_id").agg(F.count("*").alias("m"))
     alone = copies.where("m > 1").join(sets, "set_id", "left_anti").select("set_id", F.col("set_id").alias("group_id"), F.lit(0).cast("long").alias("links"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.runtime import BROADCAST_ROWS, broadcast_if_small, stage
+from loomline.runtime import BROADCAST_ROWS, broadcast_if_small, stage, unstage
 
 #: White space of any kind but the line feed, with the format characters that show as none.
 _BLANK = r"[\t\x0B\f\r\x1C-\x1F\x85\p{Z}\x{200B}\x{2060}\x{FEFF}]+"
@@ -131,5 +131,7 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, m
     source_type = dict(lines.dtypes)["source"]
     roots = edges.groupBy("source").applyInPandas(_components, f"source {source_type}, h long, g int, root long")
     blocks = nodes.join(roots, ["source", "h", "g"], "left").select("source", "h", "g", "support", F.coalesce("root", "h").alias("block"))
-    return RepeatedLines(df, id_col, source_col, text_col, lines, stage(blocks, "line-blocks"), n, edges)
+    blocks = stage(blocks, "line-blocks")
+    unstage(nodes)
+    return RepeatedLines(df, id_col, source_col, text_col, lines, blocks, n, edges)
 
