@@ -80,10 +80,14 @@ def dashes(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x{2010}-\x{2015}]", "-")
 
 
+def found_list(c: Column, pattern: str) -> Column:
+    """The sorted distinct lower-cased matches; none for null."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), 0), F.lower)))
+
+
 def found_set(c: Column, pattern: str, n: int) -> Column:
     """First n of the sorted distinct lower-cased matches, joined by ``; ``."""
-    hits = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), 0), F.lower)
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(hits)), 1, n), "; ")
+    return F.array_join(F.slice(found_list(c, pattern), 1, n), "; ")
 
 
 def html_escape(c: Column) -> Column:

@@ -34,10 +34,50 @@ def custom_id_roundtrip(t: Tables) -> DataFrame:
     return requests(t).select(parts[0].alias("corpus"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("article_idx"), F.array_join(F.slice(parts, 3, 100), "-").alias("pass_name"))
 
 
-@query(f"""WITH {_PASSES}, {_ELIGIBLE} SELECT custom_id, '{{"custom_id":"' || custom_id || '","body":{{"max_tokens":1000,"messages":[{{"role":"user","content":"' || pass_name || '"}}]}}}}' AS line FROM (SELECT corpus || '-' || article_idx || '-' || pass_name AS custom_id, pass_name FROM a JOIN p USING (corpus_type))""")
+#: The text of a request; its fields are the pass, the place of the article and the head of its title.
+PROMPT = "Pass %s\nArticle %d\nTitle: %s\nAnswer with one JSON object."
+_HEAD = "coalesce(left(regexp_replace(title, '[\x00-\x1F\"\\\\]', ' ', 'g'), 40), '')"
+_CONTENT = f"'Pass ' || pass_name || chr(10) || 'Article ' || article_idx || chr(10) || 'Title: ' || {_HEAD} || chr(10) || 'Answer with one JSON object.'"
+_REQUESTS = f"{_PASSES}, {_ELIGIBLE}, q AS (SELECT a.corpus, pass_name, a.corpus || '-' || article_idx || '-' || pass_name AS custom_id, {_CONTENT} AS content FROM a JOIN p USING (corpus_type) JOIN preprocess_final ON row_idx = article_idx)"
+_LINE = """'{"custom_id":"' || custom_id || '","method":"POST","body":{"temperature":0.0,"max_tokens":1000,"messages":[{"role":"user","content":"' || replace(content, chr(10), '\\n') || '"}]}}'"""
+
+
+def prompts(t: Tables) -> DataFrame:
+    """(corpus, pass_name, custom_id, content) of every request."""
+    head = F.coalesce(F.left(F.regexp_replace("title", r'[\x00-\x1F"\\]', " "), F.lit(40)), F.lit(""))
+    titles = t.preprocess_final.select(F.col("row_idx").alias("article_idx"), head.alias("head"))
+    text = F.format_string(PROMPT, "pass_name", "article_idx", "head")
+    return requests(t).join(titles, "article_idx").select("corpus", "pass_name", "custom_id", text.alias("content"))
+
+
+@query(f"WITH {_REQUESTS} SELECT custom_id, {_LINE} AS line FROM q")
 def request_generation(t: Tables) -> DataFrame:
-    body = F.struct(F.lit(1000).alias("max_tokens"), F.array(F.struct(F.lit("user").alias("role"), F.col("pass_name").alias("content"))).alias("messages"))
-    return requests(t).select("custom_id", F.to_json(F.struct("custom_id", body.alias("body"))).alias("line"))
+    """Requests as JSON lines, the text made from a template."""
+    message = F.struct(F.lit("user").alias("role"), "content")
+    body = F.struct(F.lit(0.0).alias("temperature"), F.lit(1000).alias("max_tokens"), F.array(message).alias("messages"))
+    return prompts(t).select("custom_id", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), body.alias("body"))).alias("line"))
+
+
+#: Requests and bytes of a file, at most.
+MOST_REQUESTS, MOST_BYTES = 1_000, 500_000
+
+
+@query(f"WITH {_REQUESTS} SELECT corpus, CAST(count(*) AS BIGINT) AS n, CAST(sum(strlen({_LINE}) + 1) AS BIGINT) AS bytes, count(*) > {MOST_REQUESTS} OR sum(strlen({_LINE}) + 1) > {MOST_BYTES} AS beyond FROM q GROUP BY corpus")
+def request_limits(t: Tables) -> DataFrame:
+    """Requests and bytes of each file, and whether it is beyond a limit."""
+    rows = request_generation(t).select(F.substring_index("custom_id", "-", 1).alias("corpus"), (F.octet_length("line") + 1).alias("b"))
+    return rows.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("b").alias("bytes")).withColumn("beyond", (F.col("n") > MOST_REQUESTS) | (F.col("bytes") > MOST_BYTES))
+
+
+def estimated_tokens(text: F.Column) -> F.Column:
+    """Tokens of a message by the length of its text, with what each message takes beside; a tokenizer may stand in its place."""
+    return (F.ceil(F.length(text) / 4) + 8).cast("long")
+
+
+@query(f"WITH {_REQUESTS} SELECT custom_id, CAST(ceil(length(content) / 4) + 8 AS BIGINT) AS tokens FROM q")
+def request_tokens(t: Tables, count=estimated_tokens) -> DataFrame:
+    """Tokens of each request, by any function of its text."""
+    return prompts(t).select("custom_id", count(F.col("content")).alias("tokens"))
 
 
 #: Tokens of a chunk: four fifths of what a queue of this size takes.
@@ -73,6 +113,33 @@ def token_means(t: Tables) -> DataFrame:
     return t.token_usage.groupBy("pass_name").agg(F.count("*").alias("calls"), F.round(F.avg("prompt_tokens"), 4).alias("mean_in"), F.round(F.avg("completion_tokens"), 4).alias("mean_out"), F.sum("prompt_tokens").alias("tokens_in"), F.sum("completion_tokens").alias("tokens_out"))
 
 
+#: Output tokens of a call where a group has none measured; what a token read and a token written weigh.
+FALLBACK_OUT, WEIGHT_IN, WEIGHT_OUT = 1_300.0, 1, 4
+
+
+@query(f"""WITH g AS (SELECT corpus_type, pass_name, CASE WHEN corpus_type = 'intersection' AND pass_name = 'pass2' THEN NULL ELSE completion_tokens END AS out, prompt_tokens AS inp FROM token_usage),
+  r AS (SELECT corpus_type, pass_name, sum(out) / count(out) AS rate FROM g GROUP BY ALL)
+SELECT corpus_type, pass_name, CAST(count(*) AS BIGINT) AS n, CAST(count(out) AS BIGINT) AS measured, CAST(sum({WEIGHT_IN} * inp + {WEIGHT_OUT} * out) FILTER (out IS NOT NULL) AS BIGINT) AS actual, round(sum({WEIGHT_IN} * inp + {WEIGHT_OUT} * coalesce(out, rate, {FALLBACK_OUT})), 2) AS projected FROM g JOIN r USING (corpus_type, pass_name) GROUP BY ALL""")
+def cost_estimate(t: Tables) -> DataFrame:
+    """Weighted tokens so far and in all: measured where there is a measure, else by the group's rate, else by a fixed one."""
+    out = F.when(~((F.col("corpus_type") == "intersection") & (F.col("pass_name") == "pass2")), F.col("completion_tokens"))
+    g = t.token_usage.select("corpus_type", "pass_name", out.alias("out"), F.col("prompt_tokens").alias("inp"))
+    rate = g.groupBy("corpus_type", "pass_name").agg((F.sum("out") / F.nullif(F.count("out"), F.lit(0))).alias("rate"))
+    rows = g.join(F.broadcast(rate), ["corpus_type", "pass_name"])
+    cost = lambda o: WEIGHT_IN * F.col("inp") + WEIGHT_OUT * o
+    return rows.groupBy("corpus_type", "pass_name").agg(F.count("*").alias("n"), F.count("out").alias("measured"), F.sum(cost(F.col("out"))).alias("actual"), F.round(F.sum(cost(F.coalesce("out", "rate", F.lit(FALLBACK_OUT)))), 2).alias("projected"))
+
+
+#: Bytes of a token of an answer, and of what surrounds it.
+TOKEN_BYTES, ENVELOPE_BYTES = 5, 550
+
+
+@query(f"SELECT corpus_type, CAST(sum(completion_tokens) * {TOKEN_BYTES} + count(*) * {ENVELOPE_BYTES} AS BIGINT) AS bytes FROM token_usage GROUP BY corpus_type")
+def size_estimate(t: Tables) -> DataFrame:
+    """Bytes that the answers will take."""
+    return t.token_usage.groupBy("corpus_type").agg((F.coalesce(F.sum("completion_tokens"), F.lit(0)) * TOKEN_BYTES + F.count("*") * ENVELOPE_BYTES).alias("bytes"))
+
+
 @query("""WITH r AS (SELECT corpus_type, sum(completion_tokens) / sum(prompt_tokens) AS ratio FROM token_usage WHERE completion_tokens IS NOT NULL GROUP BY ALL)
 SELECT corpus_type, CAST(count(*) AS BIGINT) AS n, round(sum(coalesce(completion_tokens, prompt_tokens * ratio)), 2) AS tokens_out FROM token_usage JOIN r USING (corpus_type) GROUP BY ALL""")
 def projected_output(t: Tables) -> DataFrame:

@@ -11,7 +11,7 @@ from loomline.operators.labels import LABELS, label_table, pass_table, percent
 from loomline.operators.sampling import proportional
 from loomline.plans.corpus import _U, units
 from loomline.plans.labels import _COUNTS, _DIMS, _LONG, _PAIR, long, raters
-from loomline.plans.registry import Tables, query, sql_collapse
+from loomline.plans.registry import Tables, query, sql_collapse, sql_yes_no
 from loomline.plans.selection import _sampled
 
 # ---- cells of two raters ----
@@ -304,3 +304,44 @@ def reliability_lookup(t: Tables) -> DataFrame:
     k = t.spark.createDataFrame([("conflict", 0.71), ("economic", 0.64), ("human-interest", 0.52), ("agency", -0.03)], "name string, kappa double")
     k = k.select(F.regexp_replace(text.dashes(F.col("name")), "-", "_").alias("frame"), "kappa")
     return long(t).groupBy("frame").agg(F.count("*").alias("n")).join(F.broadcast(k), "frame", "left").select("frame", "kappa", "n")
+
+
+_PAIRS = [f"{s}_present" for s, _ in LABELS]
+
+
+@query(f"""WITH x AS (SELECT DISTINCT article_idx, {", ".join(_PAIRS)} FROM annotated), y AS (SELECT article_idx // 2 AS pair, article_idx % 2 AS side, {", ".join(f"{sql_yes_no(c)} AS {c}" for c in _PAIRS)} FROM x)
+SELECT a.pair, CAST({" + ".join(f"CAST(a.{c} IS NOT DISTINCT FROM b.{c} AS INTEGER)" for c in _PAIRS)} AS INTEGER) AS equal FROM y a JOIN y b ON a.pair = b.pair AND a.side = 0 AND b.side = 1""")
+def row_pair_compare(t: Tables) -> DataFrame:
+    """Two rows under one key beside one another: on how many of their labels they agree, nulls being equal."""
+    rows = t.annotated.select("article_idx", *_PAIRS).distinct()
+    each = rows.select(F.floor(F.col("article_idx") / 2).alias("pair"), (F.col("article_idx") % 2).alias("side"), F.array(*[text.yes_no(F.col(c)) for c in _PAIRS]).alias("v"))
+    left, right = (each.where(F.col("side") == s).select("pair", F.col("v").alias(n)) for s, n in ((0, "a"), (1, "b")))
+    same = F.aggregate(F.arrays_zip("a", "b"), F.lit(0), lambda n, z: n + z["a"].eqNullSafe(z["b"]).cast("int"))
+    return left.join(right, "pair").select("pair", same.alias("equal"))
+
+
+#: Words of places of government and of measuring, for the two rules below.
+_OFFICES, _FIGURES = r"(?i)\b(gemeente|provincie|waterschap|minister|raad)\b", r"(?i)\b(procent|cijfers|aantal|rapport|monitor)\b"
+_HITS = lambda rx: f"list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(body, ''), '{rx}'), lambda x: lower(x))))"
+
+
+@query(f"""SELECT row_idx, concat_ws('; ', CASE WHEN len({_HITS(_OFFICES)}) >= 2 THEN 'offices: ' || array_to_string({_HITS(_OFFICES)}[1:4], ', ') END, CASE WHEN len({_HITS(_FIGURES)}) >= 3 THEN 'figures: ' || array_to_string({_HITS(_FIGURES)}[1:4], ', ') END) AS why
+FROM preprocess_final WHERE len({_HITS(_OFFICES)}) >= 2 OR len({_HITS(_FIGURES)}) >= 3""")
+def recheck_flags(t: Tables) -> DataFrame:
+    """Rows to look at again: rules on the number of distinct matches of a pattern, with the first of them as the reason."""
+    rows = t.preprocess_final.select("row_idx", text.found_list(F.col("body"), _OFFICES).alias("a"), text.found_list(F.col("body"), _FIGURES).alias("b"))
+    shown = lambda c, least, name: F.when(F.size(c) >= least, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(c, 1, 4), ", ")))
+    return rows.where((F.size("a") >= 2) | (F.size("b") >= 3)).select("row_idx", F.concat_ws("; ", shown("a", 2, "offices"), shown("b", 3, "figures")).alias("why"))
+
+
+@query("SELECT row_idx AS id FROM check_strata UNION SELECT article_idx FROM annotated")
+def union_distinct(t: Tables) -> DataFrame:
+    """The ids of either table, each once."""
+    return t.check_strata.select(F.col("row_idx").alias("id")).union(t.annotated.select("article_idx")).distinct()
+
+
+@query(f"WITH {_LONG} SELECT year, frame, CAST(count(present) AS BIGINT) AS n_applicable, CAST(count(*) FILTER (present = 'yes') AS BIGINT) AS n_present FROM l WHERE corpus = 'migration' AND outlet_clean = 'Rietgorzer' AND year IS NOT NULL GROUP BY ALL")
+def outlet_series(t: Tables) -> DataFrame:
+    """The yearly series of one selected corpus and outlet."""
+    rows = long(t).where("corpus = 'migration' and outlet_clean = 'Rietgorzer' and year is not null")
+    return rows.groupBy("year", "frame").agg(F.count("present").alias("n_applicable"), F.count_if(F.col("present") == "yes").alias("n_present"))
