@@ -133,12 +133,12 @@ def agreement_per_label(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_PAIR}, c AS (SELECT frame, prompt_variant, run_number, {_TALLY} FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), {_STAT}
-SELECT frame, prompt_variant, round(min(kappa), 6) AS kappa_min, round(max(kappa), 6) AS kappa_max, round(max(kappa) - min(kappa), 6) AS kappa_spread, CAST(count(*) AS BIGINT) AS runs,
+SELECT frame, prompt_variant, round(min(kappa), 6) AS kappa_min, round(max(kappa), 6) AS kappa_max, round(max(kappa) - min(kappa), 6) AS kappa_spread, round(max(raw_agreement) - min(raw_agreement), 6) AS raw_spread, round(max(alpha) - min(alpha), 6) AS alpha_spread, CAST(count(*) AS BIGINT) AS runs,
   max(kappa) FILTER (run_number = 1) AS run1, max(kappa) FILTER (run_number = 2) AS run2, max(kappa) FILTER (run_number = 3) AS run3 FROM v GROUP BY ALL""")
 def agreement_run_spread(t: Tables) -> DataFrame:
     rows = _stats(_tally(raters(t), "frame", "prompt_variant", "run_number"))
     run = lambda k: F.max(F.when(F.col("run_number") == k, F.col("kappa"))).alias(f"run{k}")
-    return rows.groupBy("frame", "prompt_variant").agg(F.min("kappa").alias("kappa_min"), F.max("kappa").alias("kappa_max"), F.round(F.max("kappa") - F.min("kappa"), 6).alias("kappa_spread"), F.count("*").alias("runs"), run(1), run(2), run(3))
+    return rows.groupBy("frame", "prompt_variant").agg(F.min("kappa").alias("kappa_min"), F.max("kappa").alias("kappa_max"), *[F.round(F.max(c) - F.min(c), 6).alias(n) for c, n in (("kappa", "kappa_spread"), ("raw_agreement", "raw_spread"), ("alpha", "alpha_spread"))], F.count("*").alias("runs"), run(1), run(2), run(3))
 
 
 @query(f"""WITH {_PAIR}, c AS (SELECT prompt_variant, frame, {_TALLY} FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), {_STAT}, m AS (SELECT prompt_variant, round(avg(kappa), 5) AS macro_kappa FROM v GROUP BY ALL),

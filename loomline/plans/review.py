@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions import text
 from loomline.operators.annotator import gate
 from loomline.operators.labels import LABELS, label_table, pass_table, percent
 from loomline.operators.sampling import proportional
+from loomline.plans.annotation import FALLBACK_OUT, WEIGHT_IN, WEIGHT_OUT
 from loomline.plans.corpus import _U, units
 from loomline.plans.labels import _COUNTS, _DIMS, _LONG, _PAIR, long, raters
 from loomline.plans.registry import Tables, query, sql_collapse, sql_yes_no
@@ -345,3 +347,50 @@ def outlet_series(t: Tables) -> DataFrame:
     """The yearly series of one selected corpus and outlet."""
     rows = long(t).where("corpus = 'migration' and outlet_clean = 'Rietgorzer' and year is not null")
     return rows.groupBy("year", "frame").agg(F.count("present").alias("n_applicable"), F.count_if(F.col("present") == "yes").alias("n_present"))
+
+
+@query(f"""WITH {_LEDGER}, x AS (SELECT chunk, owner, status, requests, requests - k.completed - coalesce(mk.completed, 0) AS short, coalesce(parts, 0) AS parts FROM k LEFT JOIN mk USING (chunk))
+SELECT chunk, owner, CASE WHEN status = 'P' THEN 'chunk ' || chunk || ' [P]' ELSE 'chunk ' || chunk || ' finished but ' || short || ' of ' || requests || ' requests are missing' || CASE WHEN parts > 0 THEN ' (after ' || parts || ' makeups)' ELSE '' END END AS problem FROM x WHERE status = 'P' OR (status = 'F' AND short > 0)""")
+def ledger_problems(t: Tables) -> DataFrame:
+    """Chunks that should stop a run: those in a bad state, and finished ones that lack requests."""
+    done = F.size(F.filter("makeups", lambda m: m["status"] == "completed"))
+    rows = ledger(t).withColumn("short", F.col("requests") - F.col("completed") - _made_up()).withColumn("parts", done)
+    missing = F.concat(F.format_string("chunk %d finished but %d of %d requests are missing", "chunk", "short", "requests"), F.when(F.col("parts") > 0, F.format_string(" (after %d makeups)", "parts")).otherwise(""))
+    problem = F.when(F.col("status") == "P", F.format_string("chunk %d [P]", "chunk")).when((F.col("status") == "F") & (F.col("short") > 0), missing)
+    return rows.select("chunk", "owner", problem.alias("problem")).where("problem is not null")
+
+
+#: What a run may cost, in weighted tokens, and the part of it at which it stops.
+BUDGET, STOP_AT = 2_000_000, 0.9
+
+
+@query(f"WITH c AS (SELECT corpus_type, CAST(sum({WEIGHT_IN} * prompt_tokens + {WEIGHT_OUT} * coalesce(completion_tokens, {FALLBACK_OUT})) AS DOUBLE) AS projected FROM token_usage GROUP BY ALL) SELECT corpus_type, projected FROM c WHERE projected > {STOP_AT} * {BUDGET}")
+def audit_budget(t: Tables) -> DataFrame:
+    """Runs whose projected cost comes too near to the budget."""
+    cost = WEIGHT_IN * F.col("prompt_tokens") + WEIGHT_OUT * F.coalesce("completion_tokens", F.lit(FALLBACK_OUT))
+    return t.token_usage.groupBy("corpus_type").agg(F.sum(cost).alias("projected")).where(F.col("projected") > STOP_AT * BUDGET)
+
+
+@query("SELECT DISTINCT article_idx FROM annotated WHERE article_idx NOT IN (SELECT article_idx FROM token_usage WHERE completion_tokens IS NOT NULL)")
+def audit_wanted(t: Tables) -> DataFrame:
+    """Ids that were asked for and not found."""
+    found = t.token_usage.where("completion_tokens is not null").select("article_idx")
+    return t.annotated.select("article_idx").distinct().join(found, "article_idx", "left_anti")
+
+
+@query("""WITH p AS (SELECT CAST(row_number() OVER (ORDER BY outlet_clean) AS INTEGER) AS panel, '<div id="chart"><script>const DATA = ["' || outlet_clean || '"];</script></div>' AS html FROM outlet_reference)
+SELECT panel, replace(html, 'id="chart"', 'id="p' || panel || '-chart"') AS html, true AS same_data FROM p""")
+def assembled_page(t: Tables) -> DataFrame:
+    """Panels of one page, whose element ids are told apart and whose data must stay as they are."""
+    page = F.format_string('<div id="chart"><script>const DATA = ["%s"];</script></div>', "outlet_clean")
+    p = t.outlet_reference.select((F.row_number().over(W.orderBy("outlet_clean"))).alias("panel"), page.alias("html"))
+    own = F.regexp_replace("html", F.lit(r'\bid="(\w+)"'), F.concat(F.lit('id="p'), "panel", F.lit('-$1"')))
+    data = lambda c: F.regexp_extract(c, r"const DATA = (.*?);</script>", 1)
+    return p.select("panel", own.alias("html"), (data(own) == data("html")).alias("same_data"))
+
+
+@query(f"WITH {_LAYERS}, b AS (SELECT article_idx, frame, coalesce(derived, merged) AS present FROM m) PIVOT b ON frame IN ({', '.join(repr(s) for s, _ in LABELS)}) USING first(present) GROUP BY article_idx")
+def snapshot_grid(t: Tables) -> DataFrame:
+    """The merged snapshot with all its layers, one wide row an article."""
+    rows = layers(t).select("article_idx", "frame", F.coalesce("derived", "merged").alias("present"))
+    return rows.groupBy("article_idx").pivot("frame", [s for s, _ in LABELS]).agg(F.first("present"))
