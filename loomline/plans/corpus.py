@@ -115,6 +115,7 @@ def summary_stats(t: Tables) -> DataFrame:
 
 @query(f"SELECT {sql_strip('meta')} AS topic, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, {sql_strip('meta')}) AS INTEGER) AS place FROM preprocess_final WHERE meta IS NOT NULL GROUP BY 1")
 def frequency_table(t: Tables) -> DataFrame:
+    """Topics and their place by size; the ranking in one task has a row a topic."""
     rows = t.preprocess_final.where("meta is not null").groupBy(text.strip(F.col("meta")).alias("topic")).agg(F.count("*").alias("n"))
     return rows.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "topic")))
 
@@ -247,6 +248,7 @@ def positional_join(t: Tables) -> DataFrame:
 
 @query("SELECT outlet_clean, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM preprocess_final WHERE outlet_clean IS NOT NULL GROUP BY outlet_clean")
 def share_of_total(t: Tables) -> DataFrame:
+    """Shares of the whole; the sum in one task has a row an outlet."""
     c = t.preprocess_final.where("outlet_clean is not null").groupBy("outlet_clean").agg(F.count("*").alias("n"))
     return c.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 6))
 

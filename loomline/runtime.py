@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -24,12 +25,16 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    package = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="loomline-")) / "loomline.zip"  # read by the driver only, which serves it
-    with zipfile.ZipFile(path, "w") as z:
+    package, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
-    sc.addPyFile(str(path))
+    path = f"{work_dir(spark)}/loomline.zip"
+    fs, at = file_system(spark, path)
+    out = fs.create(at, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 
 
