@@ -26,7 +26,6 @@ for every pair, n (n - 1) / 2 for n records that are alike.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -34,6 +33,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,25 +64,45 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf_8", "surrogatepass"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf_8"))
         return h
 
 
 def shingler(words: int):
-    """A function (title, body) to the sorted distinct 64-bit hashes of their runs of ``words`` words; none for too short texts."""
-    split = re.compile(r"[^\W_]+").findall
+    """A function from arrays of titles and bodies to their shingle sets: (values, starts, rows).
+
+    Set i holds the distinct 64-bit hashes of the runs of ``words`` words of row ``rows[i]``, sorted,
+    from ``values[starts[i]]`` on; rows with fewer words have no set. Whole batches are taken apart at once.
+    """
     known = _WordHashes()
 
-    def run(title: str | None, body: str) -> np.ndarray | None:
-        found = split(f"{title} {body}".lower() if title else body.lower())
-        if len(found) < words:
-            return None
-        h = np.array(list(map(known.__getitem__, found)), dtype=np.uint64)
-        n = len(h) - words + 1
+    def run(titles: pa.Array, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text = pc.binary_join_element_wise(pc.fill_null(titles, ""), pc.fill_null(bodies, ""), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(text), r"[^\p{L}\p{N}]+", " "), " ")
+        found = split.flatten().dictionary_encode()
+        hashes = np.array([known[w] for w in found.dictionary.to_pylist()], dtype=np.uint64)
+        empty = np.array([w == "" for w in found.dictionary.to_pylist()], dtype=bool)
+        codes = found.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+        full = ~empty[codes] if len(codes) else np.empty(0, dtype=bool)
+        h, row = hashes[codes[full]], row[full]
+        n = max(len(h) - words + 1, 0)
         s = h[:n].copy()
-        for k in range(1, words):
-            s = (s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + h[k : k + n]
-        return np.unique(s ^ (s >> np.uint64(28)))
+        with np.errstate(over="ignore"):
+            for k in range(1, words):
+                s = (s ^ (s >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + h[k : k + n]
+            s ^= s >> np.uint64(28)
+        inside = row[:n] == row[words - 1 : words - 1 + n]  # the run does not go on into the next row
+        s, row = s[inside], row[:n][inside]
+        if not len(s):
+            return s, np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        edge = np.flatnonzero(np.diff(row, prepend=-1))
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(s)]):
+            s[lo:hi].sort()
+        first = np.zeros(len(s), dtype=bool)
+        first[edge] = True
+        keep = first | (np.diff(s, prepend=s[:1]) != 0)
+        return s[keep], np.flatnonzero(first[keep]), row[edge]
 
     return run
 
@@ -145,14 +165,11 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
         seen: set[int] = set()
         runs = shingler(words)
         for batch in batches:
-            sets = [runs(t, b) for t, b in zip(batch.column("t").to_pylist(), batch.column("b").to_pylist())]
-            keep = pa.array([s is not None for s in sets], type=pa.bool_())
-            batch, sets = batch.filter(keep), [s for s in sets if s is not None]
+            values, starts, rows_with = runs(batch.column("t"), batch.column("b"))
+            batch = batch.take(pa.array(rows_with))
             if not (count := batch.num_rows):
                 continue
-            values = np.concatenate(sets)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sizes = np.diff(starts, append=len(values))
             set_id = set_numbers(values, starts)
             with np.errstate(over="ignore"):
                 mixed = values ^ (values >> np.uint64(29))
@@ -162,8 +179,11 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
                 for lo in range(0, count, 256):  # records at a time, so that the numbers stay in the processor's cache
                     hi = min(lo + 256, count)
                     own, at = [x[starts[lo] : starts[hi - 1] + sizes[hi - 1]] for x in xs], starts[lo:hi] - starts[lo]
+                    line = np.empty(len(own[0]), dtype=np.uint32)  # one buffer: fresh ones would be new pages each time
                     for k in range(len(mult)):
-                        sig[k, lo:hi] = np.minimum.reduceat(own[k % len(own)] * mult[k] + plus[k], at)
+                        np.multiply(own[k % len(own)], mult[k], out=line)
+                        np.add(line, plus[k], out=line)
+                        np.minimum.reduceat(line, at, out=sig[k, lo:hi])
                 bit = ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint64)
                 member = np.empty((count, width), dtype=np.int64)
                 for i, c in enumerate(("k1", "k2")):
@@ -314,12 +334,12 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
         runs = shingler(words)
         for batch in batches:
             batch = batch.filter(pa.array(may_contain(shared.value, batch.column("h").to_numpy())))
-            sets = [(i, v) for i, (t, b) in enumerate(zip(batch.column("t").to_pylist(), batch.column("b").to_pylist())) if (v := runs(t, b)) is not None]
-            if sets:
-                ids = batch.column("id").take(pa.array([i for i, _ in sets], type=pa.int64()))
-                number = set_numbers(np.concatenate([v for _, v in sets]), np.cumsum([0, *(len(v) for _, v in sets[:-1])]))
-                hashes = pa.array([(v >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, v in sets], type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number.view(np.int64)), hashes], names=["id", "set_id", "s"])
+            if batch.num_rows:
+                values, starts, rows_with = runs(batch.column("t"), batch.column("b"))
+            if batch.num_rows and len(rows_with):
+                offsets = pa.array(np.append(starts, len(values)).astype(np.int32))
+                hashes = pa.ListArray.from_arrays(offsets, pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows_with)), pa.array(set_numbers(values, starts).view(np.int64)), hashes], names=["id", "set_id", "s"])
 
     sets = base.select("id", F.xxhash64("id").alias("h"), "t", "b").mapInArrow(again, f"id {kind}, set_id long, s array<int>")
     sets = stage(sets, "near-sets")
