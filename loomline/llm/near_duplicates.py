@@ -42,8 +42,8 @@ from loomline.runtime import broadcast_if_small, expand_pairs, stage, unstage
 
 #: Members of a block that one task pairs at once; larger blocks are cut into fragments.
 BLOCK_MEMBERS = 64
-#: Rows of the join on blocks that one task should get.
-TASK_ROWS = 500_000
+#: Blocks of sets that a bucket should get, and that a task holds at most (16 bytes each).
+BUCKET_PAIRS, HELD_PAIRS = 500_000, 8_000_000
 #: Records of a class that meet in one task when its pairs are listed.
 CLASS_MEMBERS = 2_048
 #: Bits of the Bloom filter, at most; with more records than a twelfth of it, more shingles travel than needed.
@@ -147,10 +147,11 @@ def may_contain(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] & (np.uint8(128) >> (at & 7).astype(np.uint8)) != 0).all(axis=0)
 
 
-def fingerprint(words: int, blocks: int, rows: int, seed: int):
-    """Arrow batches (id, k1, k2, t, b) to rows (block, set_id, member, id) for the join on blocks.
+def fingerprint(words: int, blocks: int, rows: int, seed: int, buckets: int):
+    """Arrow batches (id, k1, k2, t, b) to rows (bucket, payload, set_id, member, id) for the join on blocks.
 
-    One row a record carries (k1, k2, n, one bit a symbol) as 64-bit numbers in ``member`` and its id,
+    A payload holds all (block, set) of a batch that fall into a bucket, as pairs of 64-bit numbers:
+    a row of its own for each would cost the shuffle more than what is in it. One row a record carries (k1, k2, n, one bit a symbol) as 64-bit numbers in ``member`` and its id,
     so that the blocks need the texts only once.
     """
     rng = np.random.default_rng(seed)
@@ -202,16 +203,23 @@ def fingerprint(words: int, blocks: int, rows: int, seed: int):
                         h = (h ^ sig[b * rows + r, new]) * np.uint64(0xFF51AFD7ED558CCD)
                         h ^= h >> np.uint64(32)
                     block[:, b] = h
-                spread = set_id * np.uint64(0x9E3779B97F4A7C15) + np.arange(count, dtype=np.uint64)
+                spread = ((set_id * np.uint64(0x9E3779B97F4A7C15) + np.arange(count, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            pairs = np.stack([block.reshape(-1), np.repeat(set_id[new], blocks)], axis=1)
+            home = (pairs[:, 0] % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(home, kind="stable")
+            edge = np.flatnonzero(np.diff(home[order], prepend=-1))
+            ends = pa.py_buffer((np.append(edge, len(order)) * 16).astype(np.int32).tobytes())
+            payload = pa.BinaryArray.from_buffers(pa.binary(), len(edge), [None, ends, pa.py_buffer(pairs[order].tobytes())])
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), count, [None, pa.py_buffer(member.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([block.reshape(-1), spread]).view(np.int64)),
-                    pa.array(np.concatenate([np.repeat(set_id[new], blocks), set_id]).view(np.int64)),
-                    pa.concat_arrays([pa.nulls(block.size, pa.binary()), packed]),
-                    pa.concat_arrays([pa.nulls(block.size, batch.column("id").type), batch.column("id")]),
+                    pa.array(np.concatenate([home[order][edge], spread])),
+                    pa.concat_arrays([payload, pa.nulls(count, pa.binary())]),
+                    pa.concat_arrays([pa.nulls(len(edge), pa.int64()), pa.array(set_id.view(np.int64))]),
+                    pa.concat_arrays([pa.nulls(len(edge), pa.binary()), packed]),
+                    pa.concat_arrays([pa.nulls(len(edge), batch.column("id").type), batch.column("id")]),
                 ],
-                names=["block", "set_id", "member", "id"],
+                names=["bucket", "payload", "set_id", "member", "id"],
             )
 
     return run
@@ -223,7 +231,7 @@ def paired_schema(symbols: int, id_type: str) -> str:
 
 
 def block_pairs(symbols: int):
-    """A function from batches of sorted (block, set_id, member, id) to batches of :func:`paired_schema`."""
+    """A function from batches of :func:`fingerprint`, sorted by bucket, to batches of :func:`paired_schema`."""
     names = [c.split()[0] for c in paired_schema(symbols, "").split(", ")]
     return lambda batches: _block_pairs(batches, names)
 
@@ -231,69 +239,64 @@ def block_pairs(symbols: int):
 def _block_pairs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Pairs (null, a, b) within blocks of up to BLOCK_MEMBERS sets.
 
-    Sets of larger blocks go on as (block, a, null), members as (null, set_id, null, ...).
-    At most BLOCK_MEMBERS sets of a block are held at a time.
+    Sets of larger blocks go on as (block, a, null), members as (null, set_id, null, ...). One
+    bucket is held at a time; if one grows beyond HELD_PAIRS, all of its sets go on in that way.
     """
     width = len(names) - 4
-    held_block, held, large = None, [], False
-    k: list = []
-    a: list = []
-    b: list = []
     seen: set = set()
 
-    def close() -> None:
-        nonlocal held
-        held.sort()
-        for i, x in enumerate(held):
-            for y in held[i + 1 :]:
-                if (x, y) not in seen:
-                    seen.add((x, y))
-                    k.append(None), a.append(x), b.append(y)
-        held = []
+    def batch_of(k, a, b, extra=None, ids=None) -> pa.RecordBatch:
+        cols = [pa.array(v, type=pa.int64()) for v in (k, a, b)]
+        cols += [pa.nulls(len(k), pa.int64()) if extra is None else pa.array(np.ascontiguousarray(extra[:, i])) for i in range(width)]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(k), id_type) if ids is None else ids], names=names)
+
+    def open_rows(pairs: np.ndarray) -> pa.RecordBatch:
+        return batch_of(pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()))
+
+    def close(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.flatnonzero(np.diff(pairs[:, 0], prepend=pairs[:1, 0] + 1))
+        size = np.diff(new, append=len(pairs))
+        a: list = []
+        b: list = []
+        for lo, n in zip(new[size > 1].tolist(), size[size > 1].tolist()):
+            sets = list(dict.fromkeys(pairs[lo : lo + n, 1].tolist()))
+            if len(sets) > BLOCK_MEMBERS:
+                yield open_rows(np.stack([np.full(len(sets), pairs[lo, 0]), np.array(sets, dtype=np.int64)], axis=1))
+                continue
+            for i, x in enumerate(sets):
+                for y in sets[i + 1 :]:
+                    if (x, y) not in seen:
+                        seen.add((x, y))
+                        a.append(x), b.append(y)
+        yield batch_of(pa.nulls(len(a), pa.int64()), a, b)
         if len(seen) > 500_000:
             seen.clear()
 
-    def flush(extra: np.ndarray, sets: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-        none = pa.nulls(len(sets), pa.int64())
-        cols = [pa.concat_arrays([pa.array(v, type=pa.int64()), w]) for v, w in ((k, none), (a, pa.array(sets)), (b, none))]
-        cols += [pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(np.ascontiguousarray(extra[:, i]))]) for i in range(width)]
-        cols.append(pa.concat_arrays([pa.nulls(len(k), ids.type), ids]))
-        k.clear(), a.clear(), b.clear()
-        return pa.RecordBatch.from_arrays(cols, names=names)
-
-    nobody, ids = (np.empty((0, width), dtype=np.int64), np.empty(0, dtype=np.int64)), None
+    bucket, held, amount, beyond, id_type = None, [], 0, False, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        member = batch.column("member")
-        is_block = member.is_null().to_numpy(zero_copy_only=False)
-        block, item = (batch.column(c).to_numpy() for c in ("block", "set_id"))
-        packed = member.drop_null()
-        extra, sets = (np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int64).reshape(-1, width), item[~is_block]) if len(packed) else nobody
-        ids = batch.column("id").filter(pa.array(~is_block))
-        block, item = block[is_block], item[is_block]
-        if len(block):
-            edge = np.flatnonzero(block[1:] != block[:-1]) + 1
-            starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(block)]])
-            # blocks of one, by far the most, are skipped at once; the first and the last may go on in other batches
-            keep = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(block)))
-            for lo, hi in zip(starts[keep].tolist(), ends[keep].tolist()):
-                if block[lo] != held_block:
-                    close()
-                    held_block, large = block[lo], False
-                for x in dict.fromkeys(item[lo:hi].tolist()):
-                    if large:
-                        k.append(int(held_block)), a.append(x), b.append(None)
-                    elif x not in held:
-                        held.append(x)
-                        if len(held) > BLOCK_MEMBERS:
-                            for y in held:
-                                k.append(int(held_block)), a.append(y), b.append(None)
-                            held, large = [], True
-        yield flush(extra, sets, ids)
-    close()
-    if ids is not None:
-        yield flush(*nobody, ids[:0])
+        id_type = batch.column("id").type
+        is_member = batch.column("payload").is_null()
+        if len(own := batch.filter(is_member)):
+            extra = np.frombuffer(b"".join(own.column("member").to_pylist()), dtype=np.int64).reshape(-1, width)
+            yield batch_of(pa.nulls(len(own), pa.int64()), own.column("set_id"), pa.nulls(len(own), pa.int64()), extra, own.column("id"))
+        rest = batch.filter(pc.invert(is_member))
+        for home, payload in zip(rest.column("bucket").to_pylist(), rest.column("payload").to_pylist()):
+            if home != bucket:
+                if held:
+                    yield from close(held)
+                bucket, held, amount, beyond = home, [], 0, False
+            pairs = np.frombuffer(payload, dtype=np.int64).reshape(-1, 2)
+            if not beyond:
+                held.append(pairs)
+                amount += len(pairs)
+                if amount <= HELD_PAIRS:
+                    continue
+                pairs, held, beyond = np.concatenate(held), [], True
+            yield open_rows(pairs)
+    if held:
+        yield from close(held)
 
 
 def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, copy_key: Column | None = None, words: int = 5, threshold: tuple[int, int] = (4, 5), blocks: int = 32, rows: int = 4, seed: int = 1) -> NearDuplicates:
@@ -307,9 +310,11 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     key = F.struct(F.xxhash64(id_col).alias("k1"), F.xxhash64(F.lit(17), id_col).alias("k2")) if copy_key is None else copy_key
     base = df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(title_col).alias("t"), F.col(body_col).alias("b")).where(F.col("id").isNotNull() & (F.length("b") > 0))
     kind = dict(base.dtypes)["id"]
-    marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed), f"block long, set_id long, member binary, id {kind}")
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * (blocks + 1) // TASK_ROWS))
-    both = stage(marks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(block_pairs(blocks * rows), paired_schema(blocks * rows, kind)), "near-pairs", free=True)
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(2**30, max(conf, -(-df.count() * blocks // BUCKET_PAIRS)))
+    marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed, buckets), f"bucket int, payload binary, set_id long, member binary, id {kind}")
+    tasks = min(buckets, 50_000)
+    both = stage(marks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(block_pairs(blocks * rows), paired_schema(blocks * rows, kind)), "near-pairs", free=True)
     bits = [c for c in both.columns if c[0] == "s"]
     members = both.where("id is not null").select("id", F.col("a").alias("set_id"), "k1", "k2", "n", *bits)
     small = both.where("b is not null").select("a", "b")

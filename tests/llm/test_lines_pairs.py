@@ -113,6 +113,33 @@ def test_large_blocks(spark):
     found = near_duplicates.near_duplicates(df, "id", "t", "b", words=3, threshold=(1, 2), blocks=16)
     assert near_duplicates.linked_pairs(found).count() == 90 * 89 // 2
 
+def test_buckets(monkeypatch):
+    """Pairs and rows for the fragments together are all pairs of a block, also where a bucket is more than a task holds."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "b", "c"]) + str(rng.randrange(6)) for _ in range(9)) for _ in range(150)] + ["kort", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *[pa.array([0] * len(texts))] * 2, pa.nulls(len(texts), pa.string()), pa.array(texts)], names=["id", "k1", "k2", "t", "b"])
+    marks = list(near_duplicates.fingerprint(2, 8, 1, 1, 3)(iter([batch.slice(0, 70), batch.slice(70)])))
+    table = pa.Table.from_batches(marks).sort_by("bucket")
+    where = defaultdict(set)
+    for payload in table.column("payload").drop_null().to_pylist():
+        for n in range(0, len(payload), 16):
+            where[payload[n : n + 8]].add(int.from_bytes(payload[n + 8 : n + 16], "little", signed=True))
+    pairs = lambda sets: {(x, y) for s in sets for x in s for y in s if x < y}
+    for held, members in ((8_000_000, 64), (8_000_000, 3), (200, 64), (1, 64)):
+        monkeypatch.setattr(near_duplicates, "HELD_PAIRS", held)
+        monkeypatch.setattr(near_duplicates, "BLOCK_MEMBERS", members)
+        out = pa.Table.from_batches(near_duplicates.block_pairs(8)(iter(table.to_batches(max_chunksize=40))))
+        rows = out.select(["block", "a", "b", "id"]).to_pylist()
+        open_ = defaultdict(set)
+        for r in rows:
+            if r["block"] is not None:
+                open_[r["block"]].add(r["a"])
+        assert {tuple(sorted((r["a"], r["b"]))) for r in rows if r["b"] is not None} | pairs(open_.values()) == pairs(where.values())
+        assert sorted(r["id"] for r in rows if r["id"] is not None) == list(range(150)) and bool(open_) == (members == 3 or held < 8_000_000)
+
+
 
 def test_copies(spark):
     rows = [
