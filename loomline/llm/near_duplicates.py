@@ -314,7 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str, title_col: str, body_col: str, c
     buckets = min(2**30, max(conf, -(-df.count() * blocks // BUCKET_PAIRS)))
     marks = base.select("id", "key.k1", "key.k2", "t", "b").mapInArrow(fingerprint(words, blocks, rows, seed, buckets), f"bucket int, payload binary, set_id long, member binary, id {kind}")
     tasks = min(buckets, 50_000)
-    both = stage(marks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(block_pairs(blocks * rows), paired_schema(blocks * rows, kind)), "near-pairs", free=True)
+    both = stage(marks.repartitionById(tasks, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(block_pairs(blocks * rows), paired_schema(blocks * rows, kind)), "near-pairs", free=True)
     bits = [c for c in both.columns if c[0] == "s"]
     members = both.where("id is not null").select("id", F.col("a").alias("set_id"), "k1", "k2", "n", *bits)
     small = both.where("b is not null").select("a", "b")
