@@ -192,8 +192,7 @@ def balanced_sample(df: DataFrame, targets: DataFrame, id_col: str, cell_cols: l
     order = ["bucket", F.xxhash64("key", F.lit(seed)), "key"]
     buckets = max(1, -(-int(table["drawable"].sum()) // BUCKET_ROWS))
     first = draw.join(F.broadcast(cells.where("p > 0").select(*names, "cell", "p")), names).select(F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), "key", "cell", "p")
-    tasks = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = stage(first.repartition(tasks, "bucket").sortWithinPartitions(*order).mapInPandas(run, schema), "sample-flight")
+    first = stage(first.repartitionById(min(buckets, 20_000), F.col("bucket").cast("int")).sortWithinPartitions(*order).mapInPandas(run, schema), "sample-flight")
     decided, merge = first.where("p >= 1"), first.where("p > 0 and p < 1")
     # at most one record a cell and bucket merges upward; all of a cell meet in one task
     merge = merge.withColumn("bucket", F.lit(0)).select("bucket", "key", "cell", "p")
