@@ -55,7 +55,7 @@ def top_up(pool: DataFrame, strata: list[str], key: str, preferred: Column, need
     """
     rows = pool.where(F.col(need) > 0).withColumn("_good", F.coalesce(preferred, F.lit(False)))
     counts = rows.groupBy(*strata).agg(F.count_if("_good").alias("_n_good"))
-    rows = rows.join(F.broadcast(counts), strata)  # one row a stratum
+    rows = rows.join(counts, strata)
     rows = rows.where(F.col("_good") | (F.col("_n_good") < F.col(need))).drop("_n_good", "_good")
     return ranked(rows, strata, key, seed).where(F.col("_rank") <= F.col(need)).drop("_size", "_rank")
 

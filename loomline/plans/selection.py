@@ -10,7 +10,7 @@ from loomline.operators.joins import one_to_one, repeated_keys, resolve_candidat
 from loomline.operators.sampling import stratified, top_up
 from loomline.plans.corpus import _BODY, _CELL, _KEY, _U, _WORDS, OFF_TOPIC, cells, match_key, units
 from loomline.plans.registry import Tables, query, sql_strip
-from loomline.runtime import stage
+from loomline.runtime import broadcast_if_small, stage
 
 _WELL_FORMED = r"""'^\s*\[\s*(''[^'']*''\s*(,\s*''[^'']*''\s*)*)?\]\s*$'"""
 _LIST_TERMS = f"SELECT DISTINCT term FROM (SELECT unnest(list_transform(regexp_extract_all(matched_keywords_all, '''([^'']*)''', 1), lambda x: {sql_strip('x')})) AS term FROM preprocess_final WHERE regexp_matches(matched_keywords_all, {_WELL_FORMED})) WHERE length(term) > 0"
@@ -102,9 +102,9 @@ def topup_draw(t: Tables) -> DataFrame:
     """Rows drawn for the cells that lack some, without articles whose date and title are sampled already."""
     key = F.concat(F.coalesce("date", F.lit("nan")), F.lit("|"), F.coalesce(F.lower(text.strip(F.col("title"))), F.lit("nan")))
     names = t.preprocess_final.select("row_idx", key.alias("k"))
-    need = stage(_need(t), "topup-need")  # one row a cell
+    need = stage(_need(t), "topup-need")
     sampled = _sampled(t).select("row_idx").distinct().join(names, "row_idx").select("k").distinct()
-    pool = units(t).join(F.broadcast(need), ["outlet_clean", "year"]).join(names, "row_idx").join(sampled, "k", "left_anti")
+    pool = units(t).join(broadcast_if_small(need), ["outlet_clean", "year"]).join(names, "row_idx").join(sampled, "k", "left_anti")
     pool = pool.select("row_idx", "outlet_clean", "year", F.coalesce("on_topic", F.lit(False)).alias("on_topic"), "need")
     return top_up(pool, ["outlet_clean", "year"], "row_idx", F.col("on_topic"), "need").select("row_idx", "outlet_clean", "year", "on_topic")
 
