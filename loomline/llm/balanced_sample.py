@@ -165,6 +165,8 @@ def balanced_sample(df: DataFrame, targets: DataFrame, id_col: str, cell_cols: l
     if its pool is below its minimum or below share x sample size (not rounded).
     """
     spark = df.sparkSession
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("ids must be whole numbers")
     names = [f"c{i}" for i in range(len(cell_cols))]
     rows = df.select(F.col(id_col).cast("long").alias("key"), *[F.col(c).alias(n) for c, n in zip(cell_cols, names)], *([F.col(order_col).alias("o")] if order_col else [F.lit(0).alias("o")]))
     rows = rows.where(" and ".join(f"{n} is not null" for n in ["key", *names]))

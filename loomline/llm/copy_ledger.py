@@ -65,9 +65,6 @@ def canonical_key(title: str, body: str) -> Column:
     return F.when(F.length(b) > 0, F.get(keys, F.lit(0)))
 
 
-_ROW = "k1 long, k2 long, copies long, first_at timestamp, first_id long"
-
-
 @dataclass
 class CopyLedger:
     """A ledger in a folder; one writer at a time."""
@@ -75,48 +72,56 @@ class CopyLedger:
     spark: SparkSession
     folder: str
     bucket_rows: int = 3_000_000  # about 128 MB
+    id_type: str = "long"
     version: int = 0
     buckets: int = 0
-    rows: int = 0
-    at: dict[int, int] = field(default_factory=dict)  # bucket -> version that wrote it
+    at: dict[int, tuple[int, int]] = field(default_factory=dict)  # bucket -> (version that wrote it, its rows)
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, bucket_rows: int = 3_000_000) -> CopyLedger:
-        """The ledger as its latest manifest tells it, or an empty one."""
-        ledger = cls(spark, folder.rstrip("/"), bucket_rows)
+    def open(cls, spark: SparkSession, folder: str, bucket_rows: int = 3_000_000, id_type: str = "long") -> CopyLedger:
+        """The ledger as its latest manifest tells it, or an empty one; ids may be of any type that can be ordered."""
+        ledger = cls(spark, folder.rstrip("/"), bucket_rows, id_type)
         fs, path = file_system(spark, f"{ledger.folder}/manifest")
         if fs.exists(path):
             names = [n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("v")]
             if names:
                 text = spark.read.text(f"{ledger.folder}/manifest/{max(names)}", wholetext=True).first()[0]
                 known = json.loads(text)
-                ledger.version, ledger.buckets, ledger.rows = known["version"], known["buckets"], known["rows"]
-                ledger.at = {int(b): v for b, v in known["at"].items()}
+                if known["id_type"] != id_type:
+                    raise ValueError(f"the ledger has ids of type {known['id_type']}, not {id_type}")
+                ledger.version, ledger.buckets = known["version"], known["buckets"]
+                ledger.at = {int(b): (v, n) for b, (v, n) in known["at"].items()}
         return ledger
 
+    @property
+    def schema(self) -> str:
+        return f"k1 long, k2 long, copies long, first_at timestamp, first_id {self.id_type}"
+
+    @property
+    def rows(self) -> int:
+        return sum(n for _, n in self.at.values())
+
     def table(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """The ledger, or the buckets asked for."""
         want = self.at if buckets is None else [b for b in buckets if b in self.at]
-        paths = [f"{self.folder}/v{self.at[b]:08d}/bucket={b}" for b in want]
-        return self.spark.read.schema(_ROW).parquet(*paths) if paths else self.spark.createDataFrame([], _ROW)
+        paths = [f"{self.folder}/v{self.at[b][0]:08d}/bucket={b}" for b in want]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def add(self, batch: DataFrame) -> list[int]:
         """Merge a batch of (k1, k2, at, id) rows and return the buckets that were written."""
         fresh = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(F.col("at").isNull().alias("late"), "at", "id")).alias("f"))
         fresh = stage(fresh.select("k1", "k2", "n", F.col("f.at").alias("at"), F.col("f.id").alias("id")), "ledger-batch")
-        count, buckets = fresh.count(), max(self.buckets, 1)
-        while self.rows + count > 2 * buckets * self.bucket_rows:
-            buckets *= 2
-        bucket = F.pmod(F.col("k1"), F.lit(buckets)).cast("int").alias("bucket")
-        if buckets != self.buckets:
-            touched = list(range(buckets))
-            old = self.table()
-        else:
-            touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect())  # at most ``buckets`` numbers
-            old = self.table(touched)
-        if not count:
+        home = lambda n: F.pmod(F.col("k1"), F.lit(n)).cast("int").alias("bucket")
+        buckets = max(self.buckets, 1)
+        sizes = {r[0]: r[1] for r in fresh.groupBy(home(buckets)).count().collect()}  # at most ``buckets`` numbers
+        if not sizes:
             unstage(fresh)
             return []
+        while self.rows + sum(sizes.values()) > 2 * buckets * self.bucket_rows:
+            buckets *= 2
+        split = buckets != self.buckets
+        touched, bucket = list(range(buckets)) if split else sorted(sizes), home(buckets)
+        old = self.table() if split else self.table(touched)
         both = fresh.join(old, ["k1", "k2"], "full_outer")
         earlier = F.least(
             F.when(F.col("copies").isNotNull(), F.struct(F.col("first_at").isNull().alias("late"), F.col("first_at").alias("at"), F.col("first_id").alias("id"))),
@@ -128,25 +133,22 @@ class CopyLedger:
         path = f"{self.folder}/v{version:08d}"
         # one file a bucket; what a failed attempt at this version left is overwritten
         merged.repartition(len(touched), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
-        fs, folder = file_system(self.spark, path)
-        written = sorted(int(n.split("=")[1]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("bucket="))
-        stale = [(b, v) for b, v in self.at.items() if b in set(touched) or buckets != self.buckets]
-        kept = {b: v for b, v in self.at.items() if (b, v) not in set(stale)}
-        before = self.table(b for b, _ in stale).count() if stale else 0
-        rows = self.rows - before + self.spark.read.schema(_ROW).parquet(path).count()
-        self.version, self.buckets, self.rows, self.at = version, buckets, rows, kept | dict.fromkeys(written, version)
+        written = {r[0]: (version, r[1]) for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).groupBy("bucket").count().collect()}
+        stale = [(b, v) for b, (v, _) in self.at.items() if split or b in sizes]
+        kept = {b: x for b, x in self.at.items() if not (split or b in sizes)}
+        self.version, self.buckets, self.at = version, buckets, kept | written
         self._note()
         unstage(fresh)
         for b, v in stale:  # named by no manifest but older ones
             remove(self.spark, f"{self.folder}/v{v:08d}/bucket={b}")
-        return written
+        return sorted(written)
 
     def _note(self) -> None:
         """Write the manifest under another name first, so that it is there as a whole or not at all."""
         fs, path = file_system(self.spark, f"{self.folder}/manifest/v{self.version:08d}")
         _, draft = file_system(self.spark, f"{self.folder}/manifest/draft-{self.version:08d}")
         out = fs.create(draft, True)
-        out.write(json.dumps({"version": self.version, "buckets": self.buckets, "rows": self.rows, "at": self.at}).encode())
+        out.write(json.dumps({"version": self.version, "buckets": self.buckets, "id_type": self.id_type, "at": self.at}).encode())
         out.close()
         fs.rename(draft, path)
 
@@ -167,12 +169,12 @@ def collapse(df: DataFrame, id_col: str, title_col: str, body_col: str, at_col:
     from what it holds and stays there; without a folder it goes when the application ends.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(at_col).cast("timestamp").alias("at"), F.col(title_col).alias("t"), F.col(body_col).alias("b"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(at_col).cast("timestamp").alias("at"), F.col(title_col).alias("t"), F.col(body_col).alias("b"))
     # where the key is not null; asked of the key, it would be made once for the question and once more
     rows = composed(rows.where(F.length("b") > 0), "t", "b").select("id", "at", canonical_key("t", "b").alias("k"))
     keys = stage(rows.select("id", "at", "k.k1", "k.k2"), "copy-keys")
     lo, hi = keys.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
-    ledger = CopyLedger.open(spark, folder or f"{work_dir(spark)}/copy-ledger-{uuid.uuid4().hex}")
+    ledger = CopyLedger.open(spark, folder or f"{work_dir(spark)}/copy-ledger-{uuid.uuid4().hex}", id_type=dict(df.dtypes)[id_col])
     span = max(1, ((hi or 0) - (lo or 0)) // batches + 1)
     number = F.coalesce(F.floor((F.unix_micros("at") - F.lit(lo or 0)) / span), F.lit(batches - 1))
     for n in range(batches):

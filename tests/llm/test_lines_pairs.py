@@ -151,6 +151,8 @@ def test_copies(spark):
     pairs = {(r["a"], r["b"]) for r in expand_pairs(stage(found.keys.select(F.struct("k1", "k2").alias("k"), "id"), "t"), "k", "id").collect()}
     assert pairs == {(1, 2), (4, 5), (4, 10), (5, 10), (8, 9)}
     assert {(r["first_id"], r["copies"]) for r in found.ledger.collect()} == {(2, 2), (3, 1), (10, 3), (8, 2)}
+    text = copy_ledger.collapse(df.withColumn("at", F.to_timestamp("at")).withColumn("id", F.concat(F.lit("x"), F.lpad("id", 3, "0"))), "id", "t", "b", "at")
+    assert {(r["first_id"], r["copies"]) for r in text.ledger.collect()} == {("x002", 2), ("x003", 1), ("x010", 3), ("x008", 2)}
     assert copy_ledger.collapse(df.where("false").withColumn("at", F.to_timestamp("at")), "id", "t", "b", "at").ledger.count() == 0
 
 
