@@ -5,7 +5,9 @@ automaton (bit-parallel, with transpositions as one edit). Alias paths are all n
 entry, names with a place before or after them, cut-off ends marked with a full stop, and
 what a :class:`Spelling` adds: letters that are exchanged, and words before and after a name.
 All entries within a distance are found; the nearest one counts. The distance depends on the
-length: on that of the name or on that of the typed value, whichever allows less.
+length: on that of the name or on that of the typed value, whichever allows less. Where
+nothing is found, one edit is taken back before the search, for two letters that were exchanged
+with another lost between them, and for letters that sound alike after an edit.
 
 Letters are compared without case; Latin ones also without accents. Letters and digits of
 any script count, everything else is left out.
@@ -149,6 +151,23 @@ class Trie:
         if end not in self.ends[node]:
             self.ends[node].append(end)
 
+    def twice_edited(self, typed: str) -> dict[int, int]:
+        """What a search finds after one edit is taken back that it cannot combine with others at the same place.
+
+        Two letters that were exchanged, with a letter lost between them, and letters that sound
+        alike, of which one came to stand beside the other by an edit.
+        """
+        back = {typed[:i] + typed[i + 1] + typed[i] + typed[i + 2 :] for i in range(len(typed) - 1) if typed[i] != typed[i + 1]}
+        for name, heard in self.spelling.sounds:
+            at = typed.find(heard)
+            while at >= 0:
+                back.add(typed[:at] + name + typed[at + len(heard) :])
+                at = typed.find(heard, at + 1)
+        best: dict[int, int] = {}
+        for text in back:
+            self._search(text, best, 1)
+        return best
+
     def search(self, typed: str) -> dict[int, int]:
         """Entry to distance, for all entries within the distance allowed to them."""
         best: dict[int, int] = {}
@@ -226,9 +245,13 @@ def _close(a: str, b: str) -> bool:
 def resolve(trie: Trie, value: str | None) -> list[tuple[int, int]]:
     """(distance, entry) of all entries that a typed value may denote, the nearest first."""
     found: dict[int, int] = {}
-    for form in readings(value or "", trie.spelling):
-        for entry, d in trie.search(form).items():
-            found[entry] = min(d, found.get(entry, 99))
+    forms = readings(value or "", trie.spelling)
+    for find in (trie.search, trie.twice_edited):
+        for form in forms:
+            for entry, d in find(form).items():
+                found[entry] = min(d, found.get(entry, 99))
+        if found:
+            break
     return sorted((d, e) for e, d in found.items())
 
 
