@@ -163,8 +163,10 @@ class Trie:
             while at >= 0:
                 back.add(typed[:at] + name + typed[at + len(heard) :])
                 at = typed.find(heard, at + 1)
+        near: dict[int, int] = {}
+        self._search(typed, near, -1)  # within one edit more than allowed, else it cannot be
         best: dict[int, int] = {}
-        for text in back:
+        for text in back if near else ():
             self._search(text, best, 1)
         return best
 
