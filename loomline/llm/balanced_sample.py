@@ -187,7 +187,9 @@ def balanced_sample(df: DataFrame, targets: DataFrame, id_col: str, cell_cols: l
     types = {f.name: f.dataType.simpleString() for f in plan.schema}
     fields = [*names, "cell", "share", "least", "pool", "expected", "p"]
     kinds = ", ".join(f"{n} {types.get(n, 'long' if n == 'cell' else 'double')}" for n in fields)
-    cells = spark.createDataFrame(table[fields].astype(object).where(table[fields].notna(), None).values.tolist(), kinds)
+    whole = {n for n in fields if types.get(n, "long" if n == "cell" else "double") in ("tinyint", "smallint", "int", "bigint", "long")}
+    plain = lambda n, v: None if pd.isna(v) else int(v) if n in whole else v  # noqa: E731  (a null makes whole numbers floats)
+    cells = spark.createDataFrame([tuple(plain(n, v) for n, v in zip(fields, row)) for row in table[fields].astype(object).itertuples(index=False)], kinds)
 
     run = lambda it: flight(it, seed)
     schema = "key long, cell long, p double"

@@ -176,7 +176,7 @@ def pack_items(items: DataFrame, id_col: str, size_col: str, plans: DataFrame, p
     schema = f"plan {plan_kind}, container long, id {kind}, piece int, size long, unused long"
     rows = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).where("id is not null and size >= 0")
     if not listed:
-        return items.sparkSession.createDataFrame([], schema)
+        return items.sparkSession.createDataFrame([], f"{plan_col} {plan_kind}, container long, {id_col} {kind}, piece int, tokens long, unused long")
     shards = max(1, -(-rows.count() // shard_items))
     each = F.array(*[F.struct(F.lit(r["p"]).cast(plan_kind).alias("plan"), F.lit(r["c"]).alias("capacity")) for r in listed])
     spread = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards))).withColumn("x", F.explode(each)).select("x.plan", "x.capacity", "shard", "id", "size")
