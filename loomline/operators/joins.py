@@ -16,16 +16,17 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of two tables whose keys are unique; the job fails with the key if one is not.
 
     Each side becomes one row a key before the join, so a hot key fails and does not multiply.
-    Rows with a null key are an error too if there are several of them.
+    Rows of the left with a null in the key stay as they are and join with nothing.
     """
     out = []
-    for side, df in (("left", left), ("right", right)):
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    for side, df in (("left", left.where(known)), ("right", right.where(known))):
         rest = [c for c in df.columns if c not in keys]
         one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(F.lit(0).alias("_0"), *rest)).alias("_r"))
         fail = F.raise_error(F.concat(F.lit(f"key repeated on the {side}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
         one = one.withColumn("_r", F.when(F.col("_n") > 1, fail).otherwise(F.col("_r")))
         out.append(one.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
-    return out[0].join(out[1], keys, "left")
+    return out[0].join(out[1], keys, "left").unionByName(left.where(f"not ({known})"), allowMissingColumns=True)
 
 
 def resolve_candidates(left: DataFrame, right: DataFrame, id_col: str, key: str, text: str, size: str) -> DataFrame:

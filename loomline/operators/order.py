@@ -73,17 +73,19 @@ def greedy_chunks(df: DataFrame, by: list[str], order: str, size: str, target: i
     One fold over each group in the order of a unique whole-number column: a chunk begins when
     the next item would overflow it. Ranges of ``width`` order values are summed up first, for
     every total that may be open where they begin; one task a group folds these few rows, and
-    each range is then folded from its own beginning.
+    each range is then folded from its own beginning. Items without an order value come last, in
+    no order of their own; a size that is null is 0.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     keys = "".join(f"{c} {kinds[c]}, " for c in by)
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width).cast("long"))
+    ranged = df.withColumn("_at", F.coalesce(F.col(order).cast("long"), F.lit(2**62))).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    ranged = ranged.withColumn("_range", F.floor(F.col("_at") / width).cast("long"))
 
     def head(frame: pd.DataFrame, rows: dict) -> pd.DataFrame:
         return pd.DataFrame({c: [frame[c].iloc[0]] * len(next(iter(rows.values()))) for c in by} | rows)
 
     def summarise(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = frame.sort_values(order)[size].astype("int64").tolist()
+        sizes = frame.sort_values("_at", kind="stable")["_size"].tolist()
         rows = _summary(sizes, target)
         return head(frame, {"_range": [int(frame["_range"].iloc[0])] * len(rows), "_all": [sum(sizes)] * len(rows), "_above": pd.array([r[0] for r in rows], dtype="Int64"), "_left": [r[1] for r in rows], "_begun": [r[2] for r in rows]})
 
@@ -104,8 +106,8 @@ def greedy_chunks(df: DataFrame, by: list[str], order: str, size: str, target: i
     def run(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return frame.assign(chunk=[])
-        frame, total, number, out = frame.sort_values(order), int(state["_open"].iloc[0]), int(state["_chunk"].iloc[0]), []
-        for n in frame[size].tolist():
+        frame, total, number, out = frame.sort_values("_at", kind="stable"), int(state["_open"].iloc[0]), int(state["_chunk"].iloc[0]), []
+        for n in frame["_size"].tolist():
             if total > 0 and total + n > target:
                 total, number = 0, number + 1
             total += n
@@ -115,7 +117,7 @@ def greedy_chunks(df: DataFrame, by: list[str], order: str, size: str, target: i
     sums = ranged.groupBy(*by, "_range").applyInPandas(summarise, f"{keys}_range long, _all long, _above long, _left long, _begun long")
     states = sums.groupBy(*by).applyInPandas(fold, f"{keys}_range long, _open long, _chunk long")
     both = ranged.groupBy(*by, "_range").cogroup(states.groupBy(*by, "_range"))
-    return both.applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", _range long, chunk int").drop("_range")
+    return both.applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", _at long, _size long, _range long, chunk int").drop("_at", "_size", "_range")
 
 
 def first_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

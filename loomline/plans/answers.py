@@ -79,7 +79,7 @@ def results(t: Tables) -> DataFrame:
     """(article_idx, pass_name, state, labels) of every request: its line is looked up, and its content searched for labels."""
     lines = response_lines(t).select(F.get_json_object("line", "$.custom_id").alias("custom_id"), F.get_json_object("line", "$.error").alias("error"), F.get_json_object("line", "$.response.body.choices[0].message.content").alias("content"))
     parts = F.split("custom_id", "-", 3)
-    lines = lines.select(parts[1].cast("long").alias("article_idx"), parts[2].alias("pass_name"), "error", json_text.outermost_json("content").alias("object"), F.lit(True).alias("there"))
+    lines = lines.select(F.get(parts, F.lit(1)).try_cast("long").alias("article_idx"), F.get(parts, F.lit(2)).alias("pass_name"), "error", json_text.outermost_json("content").alias("object"), F.lit(True).alias("there"))
     lines = lines.withColumn("labels", json_text.labels_list("object"))
     wanted = t.token_usage.select("article_idx", "pass_name").distinct()
     state = F.when(F.col("there").isNull(), "missing").when(F.col("error").isNotNull(), "error").when(F.col("object").isNull(), "no_object").when(F.col("labels").isNull(), "no_frames").otherwise("ok")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions import text
+from loomline.operators.labels import percent
 from loomline.operators.order import dense_ordinal, first_row
 from loomline.operators.sampling import proportional, stratified
 from loomline.plans.registry import Tables, query, sql_collapse, sql_strip
@@ -192,7 +193,7 @@ def proportional_draw(t: Tables) -> DataFrame:
 
 @query(f"WITH {_U}, a AS (SELECT count(*) FILTER (corpus = 'climate') AS c, count(*) AS n FROM u) SELECT CAST(round_even(100.0 * c / n, 0) AS BIGINT) AS climate, CAST(100 - round_even(100.0 * c / n, 0) AS BIGINT) AS migration FROM a")
 def corpus_allocation(t: Tables) -> DataFrame:
-    a = units(t).agg(F.bround(100.0 * F.count_if(F.col("corpus") == "climate") / F.count("*")).cast("long").alias("climate"))
+    a = units(t).agg(percent(F.count_if(F.col("corpus") == "climate"), F.count("*"), 0).cast("long").alias("climate"))
     return a.withColumn("migration", 100 - F.col("climate"))
 
 
