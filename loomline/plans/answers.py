@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomline.functions import json_text, stats
 from loomline.operators.labels import LABELS, label_table, long_labels, pass_table
 from loomline.plans.registry import Tables, query, sql_yes_no
+from loomline.runtime import by_shuffle
 
 #: Fields that a label may have beside presence and indicators.
 EXTRA = {"othering": "othering_type", "agency": "agency_type"}
@@ -79,11 +80,12 @@ def results(t: Tables) -> DataFrame:
     """(article_idx, pass_name, state, labels) of every request: its line is looked up, and its content searched for labels."""
     lines = response_lines(t).select(F.get_json_object("line", "$.custom_id").alias("custom_id"), F.get_json_object("line", "$.error").alias("error"), F.get_json_object("line", "$.response.body.choices[0].message.content").alias("content"))
     parts = F.split("custom_id", "-", 3)
-    lines = lines.select(F.get(parts, F.lit(1)).try_cast("long").alias("article_idx"), F.get(parts, F.lit(2)).alias("pass_name"), "error", json_text.outermost_json("content").alias("object"), F.lit(True).alias("there"))
+    lines = lines.select(F.get(parts, F.lit(1)).try_cast("long").alias("article_idx"), F.get(parts, F.lit(2)).alias("pass_name"), "error", json_text.outermost_json("content").alias("object"))
     lines = lines.withColumn("labels", json_text.labels_list("object"))
+    found = F.when(F.col("error").isNotNull(), "error").when(F.col("object").isNull(), "no_object").when(F.col("labels").isNull(), "no_frames").otherwise("ok")
+    lines = lines.select("article_idx", "pass_name", found.alias("state"), "labels")
     wanted = t.token_usage.select("article_idx", "pass_name").distinct()
-    state = F.when(F.col("there").isNull(), "missing").when(F.col("error").isNotNull(), "error").when(F.col("object").isNull(), "no_object").when(F.col("labels").isNull(), "no_frames").otherwise("ok")
-    return wanted.join(lines, ["article_idx", "pass_name"], "left").select("article_idx", "pass_name", state.alias("state"), "labels")
+    return wanted.join(by_shuffle(lines), ["article_idx", "pass_name"], "left").withColumn("state", F.coalesce("state", F.lit("missing")))
 
 
 @query(f"WITH {_DISTINCT} SELECT article_idx, pass_name, {_STATE} AS state FROM r")

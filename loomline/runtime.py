@@ -104,6 +104,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | N
     return F.broadcast(df) if n <= rows and plan_bytes(df) <= BROADCAST_BYTES else df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A hint that a growing table is joined by sorted shuffle.
+
+    Spark estimates its size from compressed files, whatever is parsed, exploded or made of their rows,
+    and would send it through the driver's memory on that estimate.
+    """
+    return df.hint("merge")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's estimate of the size of a table: for a staged one, of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
