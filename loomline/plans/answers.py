@@ -150,8 +150,8 @@ _REASON = f"""{_DISTINCT}, {_GATED}, s AS (SELECT article_idx, corpus_type, on_t
 def reasons(t: Tables) -> DataFrame:
     """(article_idx, corpus_type, reason): why an article has no labels, null if it has them. An unknown flag counts as true."""
     flags = t.check_strata.groupBy(F.col("row_idx").alias("article_idx")).agg(F.bool_or("on_topic_flag").alias("on_topic"), F.bool_or("topic_central_flag").alias("central"))
-    rows = t.annotated.select("article_idx", "corpus_type").distinct().join(flags, "article_idx", "left")
-    rows = rows.join(F.broadcast(pass_table(t.spark)), "corpus_type").join(results(t).drop("labels"), ["article_idx", "pass_name"], "left")
+    rows = t.annotated.select("article_idx", "corpus_type").distinct().join(by_shuffle(flags), "article_idx", "left")
+    rows = rows.join(F.broadcast(pass_table(t.spark)), "corpus_type").join(by_shuffle(results(t).drop("labels")), ["article_idx", "pass_name"], "left")
     rows = rows.groupBy("article_idx", "corpus_type", "on_topic", "central").agg(F.count_if(F.col("state") == "no_frames").alias("no_frames"), F.count_if(~F.col("state").eqNullSafe("ok")).alias("bad"))
     reason = F.when(~F.coalesce("on_topic", F.lit(True)), "off_topic_keyword_flag").when(~F.coalesce("central", F.lit(True)), "not_topic_central").when(F.col("no_frames") > 0, "frames_key_not_found").when(F.col("bad") > 0, "batch_parse_error")
     return rows.select("article_idx", "corpus_type", reason.alias("reason"))
