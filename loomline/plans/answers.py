@@ -170,9 +170,9 @@ def annotated_rows(t: Tables) -> DataFrame:
     rows = labelled(t).select("article_idx", "pass_name", "frame", "present")
     q = reasons(t)
     open_ = q.where("reason is null or reason not in ('off_topic_keyword_flag', 'not_topic_central')")
-    rows = open_.join(rows, "article_idx").join(F.broadcast(pass_table(t.spark)), ["corpus_type", "pass_name"], "left_semi")
+    rows = open_.join(by_shuffle(rows), "article_idx").join(F.broadcast(pass_table(t.spark)), ["corpus_type", "pass_name"], "left_semi")
     wide = rows.groupBy("article_idx", "corpus_type").agg(*[F.max(F.when(F.col("frame") == s, F.col("present"))).alias(f"{s}_present") for s, _ in LABELS])
-    return q.join(wide, ["article_idx", "corpus_type"], "left")
+    return q.join(by_shuffle(wide), ["article_idx", "corpus_type"], "left")
 
 
 _HUMAN = f"""h AS (SELECT article_idx, replace(col, '_present', '') AS frame, max({sql_yes_no("raw")}) AS human FROM (SELECT * FROM annotated WHERE skipped_reason IS NULL) UNPIVOT INCLUDE NULLS (raw FOR col IN ({", ".join(f"{s}_present" for s, _ in LABELS)})) GROUP BY ALL)"""

@@ -17,7 +17,7 @@ def broadcast_files(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["response_state", "skip_reason"])
+@pytest.mark.parametrize("name", ["annotated_rows", "response_state", "skip_reason"])
 def test_answers_are_joined_by_shuffle(spark, name):
     """However small the files are, what is parsed from them is not sent through the driver."""
     assert broadcast_files(catalog.queries()[name](spark, "/root/testdata/sf0.001")) == []
